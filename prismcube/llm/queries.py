@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import table
 
@@ -13,15 +14,47 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import scan_contamination
+
+    found = scan_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), MODEL, digests=True)
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import suffix_array_dedup
+
+    found = suffix_array_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify_language
+
+    docs = table(spark, sf_dir, "documents")
+    return identify_language(docs, fit(docs))
+
+
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_decontamination": op2_decontamination,
         "op4_sentencepiece": op4_sentencepiece,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op9_language_id": op9_language_id,
     }
 
 
