@@ -195,7 +195,8 @@ class Sent:
         self.anchors = a = _anchors(sym, n, k)
         self.order, new, self.later = _by_place(a.h, a.c, sym.doc[a.row], a.pos)
         self.group = np.cumsum(new) - 1
-        self.lead = self.order[new]
+        # The firsts; rows of one id can have several at one place.
+        self.lead, self.lead_of = self.order[~self.later], np.flatnonzero(new[~self.later])
         h = a.h[self.lead]
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
@@ -291,7 +292,7 @@ def _remove(docs: DataFrame, n: int, k: int, words: bool, repeats: Callable, id_
             status[s.sent[part]] = _unpack(told[b].as_buffer(), np.uint8)[0]
         burning = np.bincount(s.run, status == HOT) > 0
         status[burning[s.run]] = HOT
-        hit = s.order[s.later | (status == COPY)[s.group]]
+        hit = s.order[s.later | (status == COPY)[s.lead_of][s.group]]
         done = [(a.row[hit], a.lo[hit], a.hi[hit])]
         out = []
         shared = np.flatnonzero(status == SHARED)
@@ -313,9 +314,9 @@ def _remove(docs: DataFrame, n: int, k: int, words: bool, repeats: Callable, id_
                     lo = sym.first[row[some]] - sym.first[i] + pos[some]
                     for r, rolling in enumerate(_tools()):
                         w[r, some] = rolling.spans(rolling.prefix(sym.hashed(rolling, i, j)), lo, lo + n)
-            order, new, later = _by_place(w[0], w[1], sym.doc[row], pos)
+            order, _, later = _by_place(w[0], w[1], sym.doc[row], pos)
             done.append((row[order[later]], pos[order[later]], pos[order[later]] + n))
-            at = order[new]
+            at = order[~later]
             b = (w[0, at] >> np.uint64(33)).astype(np.int64) % chunks
             at, b = at[np.argsort(b, kind="stable")], np.sort(b, kind="stable")
             out += [(x, WINDOW, chunk, _pack(w[0, at[part]], w[1, at[part]], sym.doc[row[at[part]]], row[at[part]], pos[at[part]])) for x, part in _split(b)]
