@@ -34,6 +34,30 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), MODEL, digests=True)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_loss, read_turns
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = format_conversations(turns).select("conv_id", "formatted", read_turns(F.col("formatted")).alias("t"), read_loss(F.col("segments")).alias("loss"))
+    said_by = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("t").cast("bigint").alias("n_turns"),
+        F.sha2(said_by.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import suffix_array_dedup
 
@@ -53,6 +77,8 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_decontamination": op2_decontamination,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_chat_format": op6_chat_format,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op9_language_id": op9_language_id,
     }
