@@ -28,6 +28,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_documents
 
@@ -72,15 +78,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, fit(docs))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_decontamination": op2_decontamination,
+        "op3_minhash": op3_minhash,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
         "op6_chat_format": op6_chat_format,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op9_language_id": op9_language_id,
+        "op10_lm_score": op10_lm_score,
     }
 
 
