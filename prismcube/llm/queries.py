@@ -71,6 +71,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce("_kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify_language
 
@@ -94,6 +101,7 @@ def queries() -> dict:
         "op5_quality_rules": op5_quality_rules,
         "op6_chat_format": op6_chat_format,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_line_dedup": op8_line_dedup,
         "op9_language_id": op9_language_id,
         "op10_lm_score": op10_lm_score,
     }
