@@ -177,3 +177,52 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def linked(met: DataFrame, verify, bounds, threshold: float, rounds: int = 2) -> DataFrame:
+    """Components of the nodes that are linked, (id, component), from the buckets (key, u) in which they met.
+
+    verify: keeps the linked ones of distinct pairs (a, b).  In each round a bucket has one lead that is paired with the
+    others, so pairs grow with the buckets' rows.  The lead is the node with the most neighbours over all buckets: of a
+    text and its altered copies, that is the text, which links more of them than they do each other.  From the second
+    round on it is the like of those outside the component of the first lead, and is paired with what isn't in its own
+    component.  At last come the pairs of a bucket that still lie in different components.  Of those, a join condition
+    leaves out what can't be linked: shingles that no other of these nodes has are in no intersection, so that
+    s = least(n1 - own1, n2 - own2) bounds it, and s / (n1 + n2 - s) the Jaccard similarity; with weights, one less
+    the larger share of own weight bounds the probability Jaccard similarity.  No link within a bucket is lost.
+    bounds: (u, n, own, w, own_w, plain) of the nodes it is given; plain: all weights are 1.
+    """
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = stored(met.join(sizes, "key").groupBy("u").agg(F.sum("n").alias("p")))
+    met = stored(met.join(weight, "u"))
+    links = tried = group = None
+    for r in range(rounds + 1):
+        of = met.withColumn("c", F.col("u"))
+        if group is not None:
+            of = met.join(group.withColumnRenamed("id", "u"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
+            mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+            of = stored(of.join(mixed, "key"))
+            if not of.limit(1).count():
+                break
+        if r == rounds:
+            known = stored(of.join(bounds(of.select("u").distinct()), "u"))
+            side = lambda k: known.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("u", "c", "n", "own", "w", "own_w", "plain")))
+            s = "least(n1 - own1, n2 - own2)"
+            fits = f"{s} >= {threshold} * (n1 + n2 - {s}) or not (plain1 and plain2) and 1 - greatest(own_w1 / w1, own_w2 / w2) >= {threshold}"
+            x, y = side(1), side(2)
+            pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"c1 < c2 and ({fits})")).select(F.col("u1").alias("a"), F.col("u2").alias("b"))
+        else:
+            lead = of.groupBy("key").agg(F.max(F.struct("p", "u", "c")).alias("lead"))
+            if group is not None:
+                rest = of.join(lead, "key").where("c <> lead.c")
+                lead = rest.groupBy("key").agg(F.max(F.struct("p", "u", "c")).alias("lead"))
+            pairs = of.join(lead, "key").where("c <> lead.c").select(F.col("u").alias("a"), F.col("lead.u").alias("b"))
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        found = stored(verify(pairs))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        group = components(links)
+    return group

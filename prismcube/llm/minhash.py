@@ -8,9 +8,9 @@ shingles of a slab, and a shingle leaves once its time has passed the largest fi
 
 Texts of the same words are one node from the start (a 64-bit hash of the word sequence; 128-bit hashes would widen
 the key only), so that groups of copies cost one row.  Nodes that share a band of ROWS components meet: in each
-bucket every node is paired with the bucket's least node, a pair is verified by both texts, and verified pairs are
-joined to components.  Then the pairs of each bucket that aren't in one component yet are verified as well, so no link
-within a bucket is lost, while pairs inside groups that hold together already aren't made.  BANDS bands of ROWS
+bucket every node is paired with the bucket's lead, a pair is verified by both texts, and verified pairs are joined to
+components; see `linked` for the rounds, which lose no link within a bucket, while pairs inside groups that hold
+together already aren't made.  BANDS bands of ROWS
 components miss a pair of similarity 0.8 with probability (1 - 0.8**ROWS)**BANDS, about 5e-8.
 
 A link is a similarity of at least `threshold`: the exact probability Jaccard similarity of the weighted sets, or the
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, PLAIN_WORD, Rolling, components, flat, mix, slabs, stored, word_hashes, word_spans
+from ._common import NULL_ID, PLAIN_WORD, Rolling, flat, linked, mix, slabs, stored, word_hashes, word_spans
 
 SIZE, ROWS = 128, 4
 BANDS = SIZE // ROWS
@@ -168,6 +168,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return t.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _bounds(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """What `linked` asks of nodes: sizes, and what only one of them has."""
+
+    def run(batches):
+        for batch in batches:
+            data, offs = flat(batch.column(1))
+            node = batch.column(0).to_numpy()
+            for i, j in slabs(offs):
+                _, owner, h, count = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                yield pa.RecordBatch.from_arrays([pa.array(node[i:j][owner]), pa.array(h.view(np.int64)), pa.array(count)], names=["u", "h", "c"])
+
+    each = texts.join(nodes.select(F.col("u").alias("node")), "node").select("node", "text").mapInArrow(run, "u bigint, h bigint, c bigint")
+    each = stored(each)
+    own = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("u").alias("u"), F.min("c").alias("c")).where("k = 1")
+    own = own.groupBy("u").agg(F.count(F.lit(1)).alias("own"), F.sum("c").alias("own_w"))
+    size = each.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("w"), (F.max("c") == 1).alias("plain"))
+    return size.join(own, "u", "left").fillna(0, ["own", "own_w"])
+
+
 def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, class_size) of every document; class_id: the least id of the documents that links connect."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -175,25 +194,14 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_
     nodes = signed.groupBy("node").agg(F.min("doc").alias("doc"), F.min("bands").alias("bands"))
     spread = stored(nodes.select("node", F.explode("bands").alias("key")))
     shared = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    met = stored(spread.join(shared, "key").select("key", "node", "low"))  # nodes that share a band
-    star = met.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    met = stored(spread.join(shared, "key").select("key", "node"))  # nodes that share a band
     # One text for each node in question.
     asked = met.select("node").distinct()
     first = signed.groupBy("node").agg(F.min("doc").alias("doc")).join(asked, "node", "left_semi")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     have = docs.select(doc.alias("doc"), F.col(text_col).cast("string").alias("text"))
     texts = stored(_of_node(have.join(first, "doc")))
-    links = stored(_verified(star, texts, threshold))
-    group = components(links)
-    of = met.join(group.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    of = stored(of.join(mixed, "key"))
-    other = of.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-    rest = of.withColumnRenamed("node", "a").join(other, "key").where("c < d").select("a", "b").distinct()
-    more = stored(_verified(rest.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), texts, threshold))
-    # Components, not links, are joined further: the edges of the second round between the components of the first.
-    edges = links.unionByName(more)
-    group = components(edges).withColumnRenamed("id", "node")
+    group = linked(met.select("key", F.col("node").alias("u")), lambda pairs: _verified(pairs, texts, threshold), lambda nodes: _bounds(nodes, texts), threshold).withColumnRenamed("id", "node")
     member = signed.select("doc", "node").join(group, "node", "left").select("doc", F.coalesce("component", "node").alias("c"))
     classes = member.groupBy("c").agg(F.min("doc").alias("class"), F.count(F.lit(1)).alias("class_size"))
     blank = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).cast(kind)
