@@ -43,8 +43,12 @@ def is_aggregate(text: str) -> bool:
     return any(re.search(rf"\b{a}\s*\(", text, re.I) for a in AGGREGATES)
 
 
-def parse(text: str, resolve: Callable[[str], Column]) -> Column:
-    """The Column of an expression; resolve gives the Column of a reference."""
+def parse(text: str, resolve: Callable[[str], Column], *, raw: Callable[[str], Column] | None = None, aggregate: Callable[..., Column] | None = None) -> Column:
+    """The Column of an expression; resolve gives the Column of a reference.
+
+    aggregate: called as (name, *arguments) for each aggregate; raw: references inside of one.
+    """
+    depth = 0
     tokens, i = [], 0
     while i < len(text.rstrip()):
         m = _TOKEN.match(text, i)
@@ -65,12 +69,13 @@ def parse(text: str, resolve: Callable[[str], Column]) -> Column:
         return tokens[at - 1]
 
     def factor() -> Column:
+        nonlocal depth
         m = take()
         number, ref, string, sign, name = m.groups()
         if number:
             return F.lit(float(number) if "." in number else int(number))
         if ref:
-            return resolve(ref)
+            return raw(ref) if raw and depth else resolve(ref)
         if string is not None:
             return F.lit(string.replace("''", "'"))
         if sign == "-":
@@ -82,12 +87,16 @@ def parse(text: str, resolve: Callable[[str], Column]) -> Column:
             return out
         if name and peek() == "(":
             take()
-            args = []
+            args, inside = [], name.lower() in AGGREGATES
+            depth += inside
             while peek() != ")":
                 args.append(sums())
                 if peek() == ",":
                     take()
             take()
+            depth -= inside
+            if inside and aggregate:
+                return aggregate(name.lower(), *args)
             if name.lower() == "round":
                 scale = int(tokens[at - 2].group(1))
                 return F.round(args[0], scale)
