@@ -94,7 +94,7 @@ def sql_lookup(df: DataFrame, spaces: dict[str, Namespace], call: str, out: str)
     import re
 
     m = re.fullmatch(r"\s*\w*LOOKUP\s*\((.*)\)\s*", call, re.I | re.S)
-    args = [a.strip().strip("'") for a in re.findall(r"'[^']*'|[^,]+", m[1])] if m else []
+    args = [a.strip().strip("'") for a in re.findall(r"\s*('[^']*'|[^,']+)", m[1]) if a.strip()] if m else []
     if not 3 <= len(args) <= 6:
         raise LookupError_(f"LOOKUP takes three to six arguments: {call}")
     pairs = lambda s: dict(x.split("->", 1) for x in s.split(",") if x) if s else None

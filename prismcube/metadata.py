@@ -109,8 +109,12 @@ def dumped(schemas: dict[str, StructType], primary: dict[str, str], keys: dict[s
     return out
 
 
-def register_functions(spark: SparkSession, functions: dict[str, tuple[Any, str]]) -> list[str]:
-    """SQL functions of an application, {name: (function, type)}; built-in expressions are the faster way."""
+def register_functions(spark: SparkSession, functions: dict[str, tuple[Any, str | None]]) -> list[str]:
+    """SQL functions of an application, {name: (function, type)}, without a type for those that are vectorised already;
+    built-in expressions are the faster way."""
     for name, (fn, kind) in functions.items():
-        spark.udf.register(name, fn, kind)
+        if kind is None:
+            spark.udf.register(name, fn)
+        else:
+            spark.udf.register(name, fn, kind)
     return sorted(functions)

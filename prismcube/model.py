@@ -86,7 +86,7 @@ Expr = str | Callable[[Callable[[str], Column]], Column]
 
 EQUALITY = frozenset({"In", "=", "Not In", "<>"})
 EVERY_OP = frozenset(
-    {"In", "Not In", "Between", "DateTimeBetween", "=", "==", ">", "<", "Like", "Not Like", "<>", "IsNull", "IsNotNull", "Or", "And"}
+    {"In", "Not In", "Between", "DateTimeBetween", "=", "==", ">", "<", "Like", "Not Like", "<>", "IsNull", "IsNotNull", "Or", "And", "JavaScript"}
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from typing import Any
 
 from .operators.filters import Filter, parse
@@ -59,15 +59,29 @@ class Request:
         return replace(self, **changes)
 
 
-def day_range(f: Filter) -> tuple[date, date]:
-    """First and last day of a Day filter."""
+#: Letters of date patterns in requests and what they are in Python's.
+PATTERNS = (("yyyy", "%Y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("SSS", "%f"), ("ss", "%S"), ("'T'", "T"))
+
+
+def moment(value: Any, form: str | None = None) -> datetime:
+    """A day or time of a request; form: its pattern, where it isn't ISO."""
+    text = str(value)
     try:
-        days = sorted(date.fromisoformat(str(v)[:10]) for v in f.values)
+        if not form:
+            return datetime.fromisoformat(text)
+        for letters, own in PATTERNS:
+            form = form.replace(letters, own)
+        return datetime.strptime(text, form)
     except ValueError as e:
-        raise RequestError(f"{f.values} aren't days of the form yyyy-MM-dd") from e
-    if f.op == "Between" and str(f.values[0])[:10] > str(f.values[1])[:10]:
+        raise RequestError(f"{text} is no day or time of the form {form or 'yyyy-MM-dd'}") from e
+
+
+def day_range(f: Filter) -> tuple[date, date]:
+    """First and last day of a Day filter."""
+    days = [moment(v, f.format).date() for v in f.values]
+    if f.op in ("Between", "DateTimeBetween") and days[0] > days[1]:
         raise RequestError(f"the day {f.values[0]} is after {f.values[1]}")
-    return days[0], days[-1]
+    return min(days), max(days)
 
 
 def from_json(body: str | Mapping[str, Any], *, default_day: bool = False) -> Request:

@@ -56,3 +56,12 @@ def places(spark: SparkSession, at: Mapping[str, Location | DataFrame]) -> Calla
         return found if isinstance(found, DataFrame) else found.read(spark)
 
     return read
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path that isn't there yet, in the folder that all executors share; a temporary one only where none is set."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+    return f"{base}/{uuid.uuid4().hex}"

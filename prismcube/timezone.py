@@ -9,7 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .request import Request, RequestError
+from .request import Request, RequestError, moment
 
 STEP = {"daily": timedelta(days=1), "hourly": timedelta(hours=1), "minute": timedelta(minutes=1)}
 
@@ -33,14 +33,6 @@ def _number(v) -> int:
         raise RequestError(f"{v} is no hour or minute") from e
 
 
-def _moment(v: str, form: str | None) -> datetime:
-    if not form:
-        return datetime.fromisoformat(v)
-    for java, own in (("yyyy", "%Y"), ("MM", "%m"), ("dd", "%d"), ("HH", "%H"), ("mm", "%M"), ("ss", "%S"), ("SSS", "%f"), ("'T'", "T")):
-        form = form.replace(java, own)
-    return datetime.strptime(v, form)
-
-
 def windows(request: Request, zone: str | None = None) -> list[Window]:
     """The request's windows; local bounds are shifted to UTC exactly.
 
@@ -49,7 +41,7 @@ def windows(request: Request, zone: str | None = None) -> list[Window]:
     """
     day, hour, minute = request.day, request.hour, request.minute
     if day.op == "DateTimeBetween":
-        lo, hi = (_moment(str(v), day.format) for v in day.values)
+        lo, hi = (moment(v, day.format) for v in day.values)
         return [Window(to_utc(lo, zone), to_utc(hi, zone) + timedelta(microseconds=1))]
     unit = timedelta(minutes=1) if minute else timedelta(hours=1) if hour else timedelta(days=1)
     at = lambda d, h, m: datetime.combine(date.fromisoformat(str(d)[:10]), time(_number(h), _number(m)))
