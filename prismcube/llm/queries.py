@@ -43,7 +43,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import verdicts
 
-    return verdicts(table(spark, sf_dir, "documents"))
+    return verdicts(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,4 +108,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)
