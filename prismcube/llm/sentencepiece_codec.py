@@ -1,11 +1,12 @@
 """Operator 4: SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
 The text is cut where no piece of the vocabulary can reach across (before a run of the space symbol, around line
-feeds), so that a text is a sequence of independent words.  The distinct words of a slab are encoded together: one
-flat array of symbols, and in every round the pair of best rank, leftmost on ties, is found for each word by a
-segmented minimum, merged in all words at once, and the array is compacted, until no pair is left.  One merge a word
-and round is exactly the order of the library's agenda, which would also be hard to keep with several at once.  Words
-of more than LONG symbols take a heap instead, so that one very long word costs n log n and not n rounds.
+feeds), so that a text is a sequence of independent words.  The distinct words of a slab are found by hashes of their
+code points, which are then compared, and encoded together: one flat array of symbols, and in every round the pair of
+best rank, leftmost on ties, is found for each word by a segmented minimum, merged in all words at once, and the array
+is compacted, until no pair is left.  One merge a word and round is exactly the order of the library's agenda, which
+would also be hard to keep with several at once.  Words of more than LONG symbols take a heap instead, so that one
+very long word costs n log n and not n rounds.  The texts are then put together from their words' codes.
 
 Cases: a null text is encoded as the empty text (no ids, or the end id alone); a null id is passed through; repeated
 rows are encoded each; other columns are not read; an empty table gives an empty table.
@@ -15,19 +16,19 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import struct
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ranges
+from ._common import Rolling, mix, ranges
 
 SPACE = "▁"
-#: Distinct words whose codes a worker remembers; the memory is emptied beyond that.
-CACHE = 150_000
+#: Characters of text handled at once; one longer text is a slab of its own.
+SLAB_CHARS = 2 << 20
 LONG = 400
 NONE = np.iinfo(np.int32).max
 
@@ -95,13 +96,20 @@ class Codec:
         self.out[self.unk] = " ⁇ ".encode()
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.normal):
             raise ValueError("a piece reaches across words")
-        self.split = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
         # Symbols: ids of pieces, then numbers for characters that occur in pieces only; others are -1 - code point.
         self.symbol = dict(self.normal)
         for p in self.normal:
             for c in p:
                 self.symbol.setdefault(c, len(pieces) + len(self.symbol))
         self.width = max(self.symbol.values()) + 1
+        self.by_code = -1 - np.arange(0x110000, dtype=np.int32)
+        for c, i in self.symbol.items():
+            if len(c) == 1:
+                self.by_code[ord(c)] = i
+        self.code_of = np.zeros(self.width, np.int64)  # of a symbol that is one character
+        for c, i in self.symbol.items():
+            if len(c) == 1:
+                self.code_of[i] = ord(c)
         order = {s: r for r, s in enumerate(sorted({scores[i] for i in self.normal.values()}, reverse=True))}
         pairs = {}
         for p, i in self.normal.items():
@@ -114,9 +122,8 @@ class Codec:
         self.ranks = np.array([pairs[k][0] for k in keys.tolist()] + [NONE], np.int32)
         self.merged = np.array([pairs[k][1] for k in keys.tolist()] + [-1], np.int32)
         self.pairs = pairs
-        self.ids_text: dict[str, str] = {}
-        self.count: dict[str, int] = {}
-        self.decoded: dict[str, bytes] = {}
+        decimal = [f"{i} ".encode() for i in range(len(pieces))]
+        self.decimal, self.bytes = _Table(decimal), _Table(self.out)
 
     # -- merging ---------------------------------------------------------------------------------------------------
 
@@ -151,103 +158,164 @@ class Codec:
                 offer(before[i])
         return [s for s, x in zip(syms, live, strict=True) if x]
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Final symbols of each word."""
-        get = self.symbol.get
-        out: list[list[int]] = [[]] * len(words)
-        flat: list[int] = []
-        lengths = np.zeros(len(words), np.int64)
-        for n, w in enumerate(words):
-            syms = [get(c, -1 - ord(c)) for c in w]
-            if len(syms) > LONG:
-                out[n] = self._heap(syms)
-            elif len(syms) == 1:
-                out[n] = syms
-            else:
-                flat += syms
-                lengths[n] = len(syms)
-        at = np.flatnonzero(lengths)
-        if not len(at):
-            return out
-        sym, size = np.array(flat, np.int32), lengths[at]
+    def merge(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of words, and how many each has; sym: the words' symbols one after another, size: their numbers."""
+        words, sizes, syms = [], [], []
+
+        def done(at: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+            words.append(at)
+            sizes.append(count)
+            syms.append(flat)
+
+        begin = np.cumsum(size) - size
+        for i in np.flatnonzero(size > LONG).tolist():
+            out = np.array(self._heap(sym[begin[i] : begin[i] + size[i]].tolist()), np.int32)
+            done(np.array([i]), np.array([len(out)]), out)
+        at = np.flatnonzero((size > 0) & (size <= LONG))
+        if len(at) < len(size):
+            sym = sym[ranges(begin[at], size[at])]
+        size, total = size[at], len(size)
         rank, new = self._lookup(sym, np.append(sym[1:], -1))
         rank[np.cumsum(size) - 1] = NONE
-        while True:
+        while len(at):
             starts = np.cumsum(size) - size
             least = np.minimum.reduceat(rank, starts)
             live = least != NONE
             if not live.all():  # finished words leave the array
-                for i in np.flatnonzero(~live).tolist():
-                    out[at[i]] = sym[starts[i] : starts[i] + size[i]].tolist()
                 keep = np.repeat(live, size)
+                done(at[~live], size[~live], sym[~keep])
                 sym, rank, new = sym[keep], rank[keep], new[keep]
                 at, size, least = at[live], size[live], least[live]
                 if not len(at):
-                    return out
+                    break
                 starts = np.cumsum(size) - size
-            hits = np.flatnonzero(rank == np.repeat(least, size))
-            word = np.searchsorted(starts, hits, "right") - 1
+            word = np.repeat(np.arange(len(size)), size)
+            hits = np.flatnonzero(rank == least[word])
+            word = word[hits]
             pos = hits[np.append(True, word[1:] != word[:-1])]  # the leftmost of each word
             sym[pos] = new[pos]
-            ends = starts + size - 1
-            gone = pos + 1
-            last = gone == ends
+            last = pos + 1 == starts + size - 1
             keep = np.ones(len(sym), bool)
-            keep[gone] = False
+            keep[pos + 1] = False
             size = size - 1
             now = pos - np.arange(len(pos))  # where the merged symbols are after compaction
             sym, rank, new = sym[keep], rank[keep], new[keep]
             starts = np.cumsum(size) - size
-            right = now[~last]
             rank[now[last]] = NONE
-            rank[right], new[right] = self._lookup(sym[right], sym[right + 1])
-            left = now[now > starts] - 1
-            rank[left], new[left] = self._lookup(sym[left], sym[left + 1])
-
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        pieces, byte_ids = len(self.pieces), self.byte_ids
-        out = []
-        for word, syms in zip(words, self.merge(words), strict=True):
-            if all(0 <= s < pieces for s in syms):
-                out.append(syms)
-                continue
-            ids, i = [], 0
-            for s in syms:  # a symbol outside the vocabulary is one character
-                if 0 <= s < pieces:
-                    ids.append(s)
-                    i += len(self.pieces[s])
-                else:
-                    ids += byte_ids[list(word[i].encode())].tolist()
-                    i += 1
-            out.append(ids)
-        return out
+            left, right = now[now > starts] - 1, now[~last]
+            both = np.concatenate([left, right])
+            rank[both], new[both] = self._lookup(sym[both], sym[both + 1])
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(total, np.int64)
+        word, count, flat = (np.concatenate(x) for x in (words, sizes, syms))
+        order = np.argsort(word)
+        first = np.cumsum(count) - count
+        out = np.zeros(total, np.int64)
+        out[word] = count
+        return flat[ranges(first[order], count[order])], out
+
+    def _with_bytes(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols: those outside the vocabulary are one character each, which becomes its bytes."""
+        odd = (sym < 0) | (sym >= len(self.pieces))
+        if not odd.any():
+            return sym, size
+        at = np.flatnonzero(odd)
+        s = sym[at].astype(np.int64)
+        code = np.where(s < 0, -1 - s, self.code_of[np.maximum(s, 0)])
+        width = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+        count = np.ones(len(sym), np.int64)
+        count[at] = width
+        out = np.repeat(sym, count)
+        start = (np.cumsum(count) - count)[at]
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])
+        for k in range(4):
+            some = width > k
+            shift = 6 * (width[some] - 1 - k)
+            part = code[some] >> shift
+            byte = np.where(width[some] == 1, code[some], (lead[width[some]] | part) if k == 0 else 0x80 | (part & 0x3F))
+            out[start[some] + k] = self.byte_ids[byte]
+        owner = np.repeat(np.arange(len(size)), size)
+        return out, np.bincount(owner, count, minlength=len(size)).astype(np.int64)
 
     # -- texts -----------------------------------------------------------------------------------------------------
 
-    def words(self, text: str | None) -> list[str]:
-        return self.split(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def learn(self, lists: list[list[str]]) -> None:
-        """Encode the words that aren't known yet."""
-        new = set().union(*lists).difference(self.count) if lists else set()
-        if len(self.count) + len(new) > CACHE:
-            for d in (self.ids_text, self.count, self.decoded):
-                d.clear()
-            new = set().union(*lists)
-        todo = sorted(new)
-        for w, ids in zip(todo, self.ids_of(todo), strict=True):
-            self.ids_text[w], self.count[w], self.decoded[w] = " ".join(map(str, ids)), len(ids), b"".join([self.out[i] for i in ids])
+    def slab(self, texts: list[str | None]) -> Slab:
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        offs = np.append(0, np.cumsum([len(t) for t in marked]))
+        if not len(code):
+            z = np.zeros(0, np.int64)
+            return Slab(self, z, z, z, np.zeros(len(texts) + 1, np.int64))
+        space, feed = code == ord(SPACE), code == 0x0A
+        cut = np.ones(len(code), bool)
+        cut[1:] = (space[1:] & ~space[:-1]) | feed[1:] | feed[:-1]
+        cut[offs[:-1][offs[:-1] < len(code)]] = True
+        starts = np.flatnonzero(cut)
+        size = np.diff(np.append(starts, len(code)))
+        rolling = _rolling()
+        prefix = rolling.prefix(mix(code.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+        _, first, word = np.unique(rolling.spans(prefix, starts, starts + size), return_index=True, return_inverse=True)
+        head = first[word]
+        if not ((size == size[head]).all() and (code == code[np.arange(len(code)) + np.repeat(starts[head] - starts, size)]).all()):
+            first, word = np.arange(len(starts)), np.arange(len(starts))  # two words of one hash: each is encoded by itself
+        sym = self.by_code[code[ranges(starts[first], size[first])]]
+        ids, count = self._with_bytes(*self.merge(sym, size[first]))
+        return Slab(self, word, ids, count, np.searchsorted(starts, offs))
 
     def encode(self, text: str | None, end: bool = False) -> list[int]:
-        words = self.words(text)
-        self.learn([words])
-        return [int(i) for w in words for i in self.ids_text[w].split()] + [self.end] * end
+        return self.slab([text]).ids(0).tolist() + [self.end] * end
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined; one leading space, which encoding puts before any text, goes."""
         return _first_space(b"".join([self.out[i] for i in ids])).decode(errors="replace")
 
 
+class _Table:
+    """Byte strings by number, to be taken many at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def joined(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """For each run of `count` ids, their strings joined."""
+        size = self.size[ids]
+        data = self.flat[ranges(self.start[ids], size)].tobytes()
+        edge = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(count))].tolist()
+        return [data[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+
+
+class Slab:
+    """Codes of some texts: their words, and the ids of each distinct word."""
+
+    def __init__(self, codec: Codec, word: np.ndarray, ids: np.ndarray, count: np.ndarray, first: np.ndarray):
+        self.codec, self.word, self.flat, self.count, self.first = codec, word, ids, count, first
+        self.start = np.cumsum(count) - count
+
+    def sizes(self) -> np.ndarray:
+        """Number of ids of each text."""
+        return np.diff(np.append(0, np.cumsum(self.count[self.word]))[self.first])
+
+    def ids(self, text: int) -> np.ndarray:
+        w = self.word[self.first[text] : self.first[text + 1]]
+        return self.flat[ranges(self.start[w], self.count[w])]
+
+    def joined(self, table: _Table) -> list[bytes]:
+        """Each text's ids as the table's strings, joined."""
+        if not len(self.word):
+            return [b""] * (len(self.first) - 1)
+        words = table.joined(self.flat, self.count)
+        edge, out, every = self.first.tolist(), [], self.word.tolist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            out.append(b"".join(itemgetter(*every[a:b])(words)) if b - a > 1 else words[every[a]] if b > a else b"")
+        return out
+
+
+def _rolling() -> Rolling:
+    return _rolling.__dict__.setdefault("made", Rolling())
+
+
 def _first_space(raw: bytes) -> bytes:
     return raw[1:] if raw[:1] == b" " else raw
 
@@ -264,7 +332,7 @@ def codec(model: bytes) -> Codec:
     return _codecs[key]
 
 
-def _blocks(texts: list[str | None], chars: int = 1 << 20):
+def _blocks(texts: list[str | None], chars: int = SLAB_CHARS):
     i = 0
     while i < len(texts):
         j, n = i, 0
@@ -292,18 +360,14 @@ def encode_documents(df: DataFrame, model_path: str, *, id_col: str = "doc_id",
         for batch in batches:
             n_all, ids_all, dec_all = [], [], []
             for texts in _blocks(batch.column(1).to_pylist()):
-                lists = [c.words(t) for t in texts]
-                c.learn(lists)
-                for words in lists:
-                    n_all.append(sum(map(c.count.__getitem__, words)) + end)
-                    ids = " ".join(map(c.ids_text.__getitem__, words))
-                    ids = (f"{ids} {c.end}" if ids else str(c.end)) if end else ids
-                    if digests:
-                        ids_all.append(hashlib.sha256(ids.encode()).hexdigest())
-                        raw = _first_space(b"".join(map(c.decoded.__getitem__, words)))
-                        dec_all.append(hashlib.sha256(raw).hexdigest())
-                    else:
-                        ids_all.append(np.array(ids.split(), np.int32))
+                slab = c.slab(texts)
+                n_all += (slab.sizes() + end).tolist()
+                if digests:
+                    last = str(c.end).encode() if end else b""
+                    ids_all += [hashlib.sha256(x + last if end else x[:-1]).hexdigest() for x in slab.joined(c.decimal)]
+                    dec_all += [hashlib.sha256(_first_space(x)).hexdigest() for x in slab.joined(c.bytes)]
+                else:
+                    ids_all += [np.append(slab.ids(k), [c.end] * end).astype(np.int32) for k in range(len(texts))]
             cols = [batch.column(0), pa.array(n_all, pa.int64())]
             if digests:
                 cols += [pa.array(ids_all, pa.string()), pa.array(dec_all, pa.string())]
