@@ -28,6 +28,8 @@ from ._common import LETTER_WORD, LOWER, Rolling, flat, mix, ranges, slabs, word
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 SAMPLE, SAMPLE_CHARS = 600, 20_000
 UNKNOWN = "und"
+#: Least number of texts drawn of a language in a round, and the length that no weight vector exceeds.
+MIN_DRAWS, RADIUS = 300, 8.0
 
 
 def _features(rolling: Rolling, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ class LanguageModel:
         return (out / np.maximum(total, 1)[:, None] + self.bias) / self.temperature, total
 
 
-def train(texts: list[str], labels: list[str], *, epochs: int = 4, seed: int = 0) -> LanguageModel:
+def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float = 0.4, seed: int = 0) -> LanguageModel:
     """Stochastic gradient descent over snippets of 1 to 40 words; every fifth text is held back for calibration."""
     langs = sorted(set(labels))
     rng, rolling = np.random.default_rng(seed), Rolling()
@@ -110,9 +112,12 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, seed: int = 0
         per_doc = np.add.reduceat(count[words], np.cumsum(take) - take)
         return ids[ranges(head[words], count[words])], per_doc
 
-    rounds, batch = epochs * 4, 64
+    by_lang = [fit[target[fit] == k] for k in range(len(langs))]
+    by_lang = [x for x in by_lang if len(x)]
+    each = max(MIN_DRAWS, max(map(len, by_lang)))  # languages are drawn equally often
+    rounds, batch = epochs * 2, 64
     for r in range(rounds):
-        order, rate = rng.permutation(fit), 0.6 * (1 - r / rounds)
+        order, pace = rng.permutation(np.concatenate([rng.choice(x, each) for x in by_lang])), rate * (1 - r / rounds)
         for k in range(0, len(order), batch):
             docs = order[k : k + batch]
             f, n = bag(docs, 40)
@@ -120,9 +125,12 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, seed: int = 0
             p = _softmax(h @ out + bias)
             p[np.arange(len(docs)), target[docs]] -= 1
             back = p @ out.T / n[:, None]
-            out -= rate * (h.T @ p) / len(docs) * 8
-            bias -= rate * p.mean(0)
-            np.add.at(emb, f, (-rate * 8 * np.repeat(back, n, 0)).astype(np.float32))
+            out -= pace * (h.T @ p)
+            bias -= pace * p.mean(0)
+            np.add.at(emb, f, (-pace * np.repeat(back, n, 0)).astype(np.float32))
+            for w in (emb, out):  # projected on a ball, so that no step can run away
+                size = np.sqrt((w * w).sum(1, keepdims=True))
+                np.divide(w, size / RADIUS, out=w, where=size > RADIUS)
     model = LanguageModel(langs, emb @ out, bias.astype(np.float64), 1.0, 0.0)
     f, n = bag(np.repeat(held, 6), 400)
     logits = np.add.reduceat(model.table[f], np.cumsum(n) - n, 0) / n[:, None] + bias
