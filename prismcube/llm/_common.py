@@ -179,38 +179,52 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     )
 
 
+#: No pair (1, 2) of similarity `t` or more fails this; both have met the lead L of one bucket.  n, w: shingles and
+#: their weight; a, aw: of those, what is also in L; own, own_w: what no other node in question has; most: the largest
+#: weight of one.  Of what both have, a part in L is at most the smaller a, and a part outside at most the smaller rest;
+#: in weight it misses at least what one has of L more than the other.  With the shares S1 and S2 of what both have,
+#: S1 * S2 / (S1 + S2 - S1 * S2) bounds the Jaccard similarity, and the probability Jaccard similarity as well: its terms
+#: are at most 1 / (1 / p + (1 - S2) / q), concave in (p, q) and homogeneous, so that they sum to that at most.
+_SHARE = "least({k}w, {k}aw - greatest({k}a - {o}a, 0) + least({k}w - {k}aw - {k}own_w, ({o}n - {o}a - {o}own) * {k}most)) / cast({k}w as double)"
+_PLAIN = "(least(x_a, y_a) + least(x_n - x_a - x_own, y_n - y_a - y_own))"
+
+
 def linked(met: DataFrame, verify, bounds, threshold: float, rounds: int = 2) -> DataFrame:
     """Components of the nodes that are linked, (id, component), from the buckets (key, u) in which they met.
 
-    verify: keeps the linked ones of distinct pairs (a, b).  In each round a bucket has one lead that is paired with the
-    others, so pairs grow with the buckets' rows.  The lead is the node with the most neighbours over all buckets: of a
-    text and its altered copies, that is the text, which links more of them than they do each other.  From the second
-    round on it is the like of those outside the component of the first lead, and is paired with what isn't in its own
-    component.  At last come the pairs of a bucket that still lie in different components.  Of those, a join condition
-    leaves out what can't be linked: shingles that no other of these nodes has are in no intersection, so that
-    s = least(n1 - own1, n2 - own2) bounds it, and s / (n1 + n2 - s) the Jaccard similarity; with weights, one less
-    the larger share of own weight bounds the probability Jaccard similarity.  No link within a bucket is lost.
-    bounds: (u, n, own, w, own_w, plain) of the nodes it is given; plain: all weights are 1.
+    verify: distinct pairs (a, b) -> (a, b, both, wa, wb, ok): how many shingles both have, their weight in either, and
+    whether that is a link.  In each round a bucket has one lead that is paired with the others, so pairs grow with the
+    buckets' rows.  The lead is the node with the most neighbours over all buckets: of a text and its altered copies,
+    that is the text, which links more of them than they do each other.  From the second round on it is the like of those
+    outside the component of the first lead, and is paired with what isn't in its own component.  At last come the
+    pairs of a bucket that still lie in different components, but for those that can't be linked: what either shares
+    with the bucket's first lead bounds what they share (see _SHARE).  No link within a bucket is lost.
+    bounds: (u, n, own, w, own_w, most) of the nodes it is given.
     """
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = stored(met.join(sizes, "key").groupBy("u").agg(F.sum("n").alias("p")))
     met = stored(met.join(weight, "u"))
-    links = tried = group = None
+    first = stored(met.groupBy("key").agg(F.max(F.struct("p", "u")).alias("lead")).select("key", F.col("lead.u").alias("lead")))
+    tried = seen = group = None
     for r in range(rounds + 1):
         of = met.withColumn("c", F.col("u"))
         if group is not None:
             of = met.join(group.withColumnRenamed("id", "u"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
-            mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+            mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y and k > 2").select("key")
             of = stored(of.join(mixed, "key"))
             if not of.limit(1).count():
                 break
         if r == rounds:
-            known = stored(of.join(bounds(of.select("u").distinct()), "u"))
-            side = lambda k: known.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("u", "c", "n", "own", "w", "own_w", "plain")))
-            s = "least(n1 - own1, n2 - own2)"
-            fits = f"{s} >= {threshold} * (n1 + n2 - {s}) or not (plain1 and plain2) and 1 - greatest(own_w1 / w1, own_w2 / w2) >= {threshold}"
-            x, y = side(1), side(2)
-            pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"c1 < c2 and ({fits})")).select(F.col("u1").alias("a"), F.col("u2").alias("b"))
+            known = of.join(bounds(of.select("u").distinct()), "u").join(first, "key").join(seen, ["u", "lead"], "left")
+            known = known.selectExpr("key", "u", "c", "n", "own", "w", "own_w", "most", "if(u = lead, n, coalesce(a, 0)) as a", "if(u = lead, w, coalesce(aw, 0)) as aw")
+            known = stored(known.withColumn("own", F.when(F.col("a") == F.col("n"), 0).otherwise(F.col("own"))).withColumn("own_w", F.when(F.col("a") == F.col("n"), 0).otherwise(F.col("own_w"))))
+            keys = known.groupBy("u").agg(F.collect_list("key").alias("keys"))  # one for each band at most
+            known = known.join(keys, "u")
+            x, y = (known.select(*[F.col(c).alias(c if c == "key" else f"{k}_{c}") for c in known.columns]) for k in "xy")
+            s1, s2 = _SHARE.format(k="x_", o="y_"), _SHARE.format(k="y_", o="x_")
+            fits = f"{_PLAIN} >= {threshold}D * (x_n + y_n - {_PLAIN}) or (x_most > 1 or y_most > 1) and {s1} * {s2} >= {threshold - 1e-9}D * ({s1} + {s2} - {s1} * {s2})"
+            once = "key = array_min(array_intersect(x_keys, y_keys))"  # of the buckets that both are in, the first
+            pairs = x.join(y, "key").where(f"x_c < y_c and ({fits}) and {once}").select(F.col("x_u").alias("a"), F.col("y_u").alias("b"))
         else:
             lead = of.groupBy("key").agg(F.max(F.struct("p", "u", "c")).alias("lead"))
             if group is not None:
@@ -219,10 +233,20 @@ def linked(met: DataFrame, verify, bounds, threshold: float, rounds: int = 2) ->
             pairs = of.join(lead, "key").where("c <> lead.c").select(F.col("u").alias("a"), F.col("lead.u").alias("b"))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        found = stored(verify(pairs))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        group = components(links)
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        done = stored(verify(pairs))
+        if seen is None:
+            sides = [done.select(F.col(u).alias("u"), F.col(o).alias("lead"), F.col("both").alias("a"), F.col(w).alias("aw")) for u, o, w in (("a", "b", "wa"), ("b", "a", "wb"))]
+            seen = sides[0].unionByName(sides[1])
+        tried = done if tried is None else tried.unionByName(done)
+        found = done.where("ok")
+        if group is None:
+            group = components(found)
+        elif found.limit(1).count():  # of the components that were there
+            own = [group.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"]
+            between = found.join(own[0], "a", "left").join(own[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            upper = stored(components(between))
+            lifted = group.join(upper.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+            fresh = upper.join(group, "id", "left_anti")
+            group = stored(lifted.unionByName(fresh))
     return group

@@ -99,28 +99,30 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of the probability Jaccard similarity of two weighted sets (sorted hashes, counts) and the Jaccard similarity of the sets."""
+def compared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int, float]:
+    """Of two weighted sets (sorted hashes, counts): how many both have, their weight in either, and the larger of the
+    probability Jaccard similarity and the Jaccard similarity of the plain sets."""
     (ha, ca), (hb, cb) = a, b
     if not len(ha) or not len(hb):
-        return float(len(ha) == len(hb))
+        return 0, 0, 0, float(len(ha) == len(hb))
     at = np.searchsorted(hb, ha)
     at[at == len(hb)] = 0
     both = hb[at] == ha
     n = int(both.sum())
     if not n:
-        return 0.0
+        return 0, 0, 0, 0.0
+    x, y = ca[both], cb[at[both]]
+    wx, wy = int(x.sum()), int(y.sum())
     plain = n / (len(ha) + len(hb) - n)
     if plain >= THRESHOLD or (ca.max() == 1 and cb.max() == 1):
-        return plain
-    x, y = ca[both], cb[at[both]]
+        return n, wx, wy, plain
     pairs = Counter(zip(x.tolist(), y.tolist(), strict=True))
     rest = Counter((c, 0) for c in ca[~both].tolist())
     alone = np.ones(len(hb), bool)
     alone[at[both]] = False
     rest.update((0, c) for c in cb[alone].tolist())
     every = np.array([(*k, v) for k, v in (pairs + rest).items()], float)
-    return max(plain, sum(v / float((np.maximum(every[:, 0] / p, every[:, 1] / q) * every[:, 2]).sum()) for (p, q), v in pairs.items()))
+    return n, wx, wy, max(plain, sum(v / float((np.maximum(every[:, 0] / p, every[:, 1] / q) * every[:, 2]).sum()) for (p, q), v in pairs.items()))
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -144,11 +146,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are linked."""
+    """The pairs (a, b) with what both have and whether they are linked; see `linked`."""
 
     def run(batches):
         for batch in batches:
-            keep, sides = np.zeros(batch.num_rows, bool), []
+            rows, sides = [], []
             for c in ("ta", "tb"):
                 column = batch.column(batch.schema.get_field_index(c))
                 if pa.types.is_dictionary(column.type):
@@ -160,12 +162,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                     _, owner, h, count = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                     cut = np.searchsorted(owner, np.arange(j - i + 1))
                     sets.append([(h[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
-                keep[i:j] = [similarity(x, y) >= threshold for x, y in zip(*sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+                rows += [compared(x, y) for x, y in zip(*sets, strict=True)]
+            both, wa, wb, like = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (both, wa, wb)), pa.array([x >= threshold for x in like], pa.bool_())], names=["a", "b", "both", "wa", "wb", "ok"])
 
     t = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     t = t.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return t.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return t.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, both bigint, wa bigint, wb bigint, ok boolean")
 
 
 def _bounds(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -183,7 +186,7 @@ def _bounds(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     each = stored(each)
     own = each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("u").alias("u"), F.min("c").alias("c")).where("k = 1")
     own = own.groupBy("u").agg(F.count(F.lit(1)).alias("own"), F.sum("c").alias("own_w"))
-    size = each.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("w"), (F.max("c") == 1).alias("plain"))
+    size = each.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("w"), F.max("c").alias("most"))
     return size.join(own, "u", "left").fillna(0, ["own", "own_w"])
 
 

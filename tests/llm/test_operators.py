@@ -245,12 +245,10 @@ def test_signature_estimates_the_similarity():
 def kept_lines(docs: list[tuple]) -> dict:
     """Brute force: id -> kept text; rows are in the order of their ids."""
     norm = lambda x: re.sub("[\t\r\f\x0b]", " ", x).strip(" ").lower()
-    units = lambda s: [s.encode("utf-16-be")[i : i + 2] for i in range(0, len(s.encode("utf-16-be")), 2)]
     texts = sorted({norm(x) for _, t in docs for x in (t or "").split("\n")} - {""})
     sets = {}
     for x in texts:
-        u = units(x)
-        sets[x] = {b"".join(u[i : i + 8]) for i in range(max(1, len(u) - 7))}
+        sets[x] = {x[i : i + 8] for i in range(max(1, len(x) - 7))}
     at = defaultdict(set)
     for x, s in sets.items():
         for g in s:
