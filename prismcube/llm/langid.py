@@ -28,6 +28,8 @@ from ._common import LETTER_WORD, LOWER, Rolling, flat, mix, ranges, slabs, word
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 SAMPLE, SAMPLE_CHARS = 600, 20_000
 UNKNOWN = "und"
+#: Bytes of text scored at once; their words have about a hundred times as many bytes of features.
+SLAB = 256 << 10
 #: Least number of texts drawn of a language in a round, and the length that no weight vector exceeds.
 MIN_DRAWS, RADIUS = 300, 8.0
 
@@ -170,7 +172,7 @@ def _predict(model: LanguageModel, column) -> tuple[np.ndarray, np.ndarray]:
     rolling = _predict.__dict__.setdefault("rolling", Rolling())
     data, offs = flat(column)
     lang, score = np.full(len(offs) - 1, -1), np.zeros(len(offs) - 1)
-    for i, j in slabs(offs):
+    for i, j in slabs(offs, SLAB):
         part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         logits, total = model.logits(rolling, part, o)
         if not model.langs:

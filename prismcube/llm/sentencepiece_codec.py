@@ -28,7 +28,7 @@ from ._common import Rolling, mix, ranges
 
 SPACE = "▁"
 #: Characters of text handled at once; one longer text is a slab of its own.
-SLAB_CHARS = 2 << 20
+SLAB_CHARS = 1 << 20
 LONG = 400
 NONE = np.iinfo(np.int32).max
 
