@@ -53,7 +53,7 @@ CHUNK = 4 << 20
 CONTEXTS = 8
 #: Contexts of one anchor that a shard takes; with more the anchor is hot.
 GROUP = 4096
-PART = 1 << 20  # symbols handled at once
+PART = 1 << 16  # symbols handled at once, so that arrays stay in a CPU cache
 U32 = np.uint64(32)
 HOT, ALONE, COPY, SHARED = np.uint8(3), np.uint8(0), np.uint8(1), np.uint8(2)
 _BLOB = "bucket long, kind int, chunk long, body binary"
