@@ -110,11 +110,10 @@ def sales_cube() -> Cube:
 
 
 def activity_fact() -> FactTable:
-    ts = F.col("ts")
     dims = (
         DimCol("user_id", IntType(), foreign_key="user_state"), DimCol("event_type", KIND), DimCol("kind", StrType(length=10), source="event_type", case_insensitive=True), DimCol("props"),
         DimCol("event_id", IntType()), DimCol("user_twin", IntType(), source="user_id"), DimCol("at", TimestampType(), source="ts"),
-        DimCol("day", DateType(), expr=lambda r: F.to_date(ts)), DimCol("hour", StrType(), expr=lambda r: F.date_format(ts, "HH")), DimCol("minute", StrType(), expr=lambda r: F.date_format(ts, "mm")),
+        DimCol("day", DateType(), expr=lambda r: F.to_date("ts")), DimCol("hour", StrType(), expr=lambda r: F.date_format("ts", "HH")), DimCol("minute", StrType(), expr=lambda r: F.date_format("ts", "mm")),
     )
     metrics = (
         FactCol("value", DecType(scale=2)), FactCol("events", IntType(), "count"), FactCol("max_value", DecType(), "max", source="value"),
