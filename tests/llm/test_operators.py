@@ -438,6 +438,30 @@ def test_probabilities_sum_to_one():
     assert math.isclose(np.exp(net.log_probabilities(np.arange(VOCABULARY), context)).sum(), 1, rel_tol=1e-4)
 
 
+def test_scores_tell_words_of_one_class_apart(spark, monkeypatch):
+    from prismcube.llm import lm_score
+
+    monkeypatch.setattr(lm_score, "HOT", 300)  # so that some words are joined
+    rng = random.Random(1)
+    words = [f"w{i}x" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=60)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = lm_score.train(df)
+    counts, spread = Counter(" ".join(texts).split()), {}
+    for w in [*counts, "neverseen", "alsonot"]:
+        raw = np.frombuffer(w.encode(), np.uint8)
+        spread[w] = int(lm_score._words(raw, np.array([0, len(raw)]))[0][0])
+    of = {w: int(net.classes[h % lm_score.BUCKETS]) for w, h in spread.items()}
+    got = {r.text: r.log_likelihood for r in lm_score.score_documents(spark.createDataFrame([(w, w) for w in spread], "doc_id string, text string"), net).withColumnRenamed("doc_id", "text").collect()}
+    pad = np.full((4, 1), lm_score.PAD)
+    for w, c in of.items():
+        n, t = sum(k for v, k in counts.items() if of[v] == c), sum(of[v] == c for v in counts) + 1
+        even = t / (int((net.classes == c).sum()) * 2.0**48)
+        want = net.log_probabilities(np.array([c]), pad)[0] + math.log((counts[w] + even) / (n + t))
+        assert math.isclose(got[w], want, rel_tol=1e-4), w
+    assert max(got["neverseen"], got["alsonot"]) < min(got[w] for w in counts)
+
+
 # -- awkward rows --------------------------------------------------------------------------------------------------
 
 
