@@ -288,6 +288,18 @@ def test_line_dedup_of_edited_lines(spark):
     assert got == {1: f"{line}\nkeep me one", 2: "keep me too, please", 5: None, 6: ""}
 
 
+@pytest.mark.parametrize("n", [11, 12, 14, 130])
+def test_similar_lines_of_any_length_meet(spark, n):
+    from prismcube.llm.lines import _bands, signatures
+
+    rng = random.Random(n)
+    made = ["".join(rng.choices("abcdefghij ", k=n - 1)) + "x" for _ in range(600)]
+    pairs = spark.createDataFrame([(i, x) for i, x in enumerate(made)] + [(i, x + "y") for i, x in enumerate(made)], "i long, l string")
+    keys = pairs.selectExpr("i", "xxhash64(l) as u").join(_bands(signatures(pairs.select("l"))), "u")
+    met = keys.groupBy("i", "key").agg(F.count_distinct("u").alias("k")).where("k = 2").select("i").distinct().count()
+    assert len(made) - met <= 8  # 2 are expected at a similarity of 0.8
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------
 
 
