@@ -300,6 +300,14 @@ def test_similar_lines_of_any_length_meet(spark, n):
     assert len(made) - met <= 8  # 2 are expected at a similarity of 0.8
 
 
+def test_lines_of_repeated_shingles(spark):
+    from prismcube.llm.lines import drop_repeated_lines
+
+    docs = [(i, (unit * 90)[:n] + f"\nkeep {unit} {n}") for i, (unit, n) in enumerate((u, n) for u in ("ha ", "* ") for n in (89, 149))]
+    got = {r.doc_id: r.text for r in drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert "ha ha" in got[0] and "ha ha" not in got[1] and "* * *" in got[2] and "* * *" not in got[3]
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------
 
 
