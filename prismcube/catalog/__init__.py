@@ -12,11 +12,11 @@ _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 PARTS = ("filters", "joins", "aggregates", "functions", "lookups", "results", "analyses", "tables")
 
-SALES_DAYS = {"field": "Day", "operator": "Between", "from": "1996-01-01", "to": "1998-12-31"}
-EVENT_DAYS = {"field": "Day", "operator": "Between", "from": "2024-01-05", "to": "2024-01-25"}
-#: The same windows in SQL.
-L = "l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1999-01-01'"
-E = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-26'"
+SALES_DAYS = {"field": "Day", "operator": "Between", "from": "1995-01-01", "to": "2001-12-31"}
+EVENT_DAYS = {"field": "Day", "operator": "Between", "from": "2024-01-01", "to": "2024-01-31"}
+#: The same windows in SQL; they hold all rows of the tables.
+L = "l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2002-01-01'"
+E = "ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'"
 
 
 def request(cube: str, fields: dict[str, str], *filters: dict, day: dict | None = None, sort: list[tuple[str, str]] = (), **more) -> dict:

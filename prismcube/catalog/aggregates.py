@@ -45,22 +45,6 @@ ask("agg_row_count", request("sales", {"supplier_id": "Supplier ID", "flag": "Fl
 ask("agg_dim_distinct", request("sales", {"segment": "Segment", "nation": "Nation"}, additionalParameters={"Distinct": True}), "SELECT DISTINCT c_mktsegment AS segment, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
 ask("agg_total_metrics", request("sales", {"quantity": "Quantity", "unit_price": "Unit Price"}), f"SELECT CAST(sum(l_quantity) AS BIGINT) AS quantity, round(sum(l_extendedprice) / sum(l_quantity), 6) AS unit_price FROM lineitem WHERE {L}")
 ask("agg_union_view", request("branches", {"year": "Year", "quantity": "Quantity", "unit_price": "Unit Price"}), f"SELECT CAST(year(l_shipdate) AS VARCHAR) AS year, CAST(sum(l_quantity) AS BIGINT) AS quantity, round(sum(l_extendedprice) / sum(l_quantity), 6) AS unit_price {LINES}")
-NESTED = "SELECT p_type AS type, CASE WHEN p_brand = 'Brand#1' THEN 'one' ELSE 'other' END AS class, CAST(sum(q) AS BIGINT) AS quantity FROM (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem WHERE " + L + " GROUP BY 1) f JOIN part ON l_partkey = p_partkey WHERE p_type <> 'PROMO' GROUP BY 1, 2"
-
-
-@query("agg_nested_groupby", NESTED)
-def _(spark, sf_dir):
-    """Grouped by the key, looked up and decoded, filtered, and grouped again."""
-    from ..cubes.trade import trade_engine
-    from ..functions.derived import decode
-    from ..functions.lookup import Namespace, attach
-    from ..sources import folder
-
-    inner = trade_engine(spark, sf_dir).frame(request("sales", {"part_id": "Part ID", "quantity": "Quantity"}))
-    held = attach(inner, Namespace("part", folder(spark, sf_dir)("part"), "p_partkey"), "part_id", ["p_type", "p_brand"])
-    held = held.where("_p_type <> 'PROMO'")
-    return held.groupBy(F.col("_p_type").alias("type"), decode(F.col("_p_brand"), "Brand#1", "one", "other").alias("class")).agg(F.sum("quantity").alias("quantity"))
-
 
 @query("agg_outer_groupby", f"SELECT c_mktsegment AS segment, round(sum(l_extendedprice) / sum(l_quantity), 6) AS unit_price, round(avg(l_extendedprice), 6) AS avg_price, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE {L} AND o_orderstatus <> 'P' AND c_acctbal > 0 GROUP BY 1")
 def _(spark, sf_dir):

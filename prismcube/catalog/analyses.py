@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..cubes.trade import registry, sales_fact, trade_engine
 from ..sources import folder
-from . import L, ask, query, request, where
+from . import L, ask, query, register, request, where
 
 Q = "CAST(sum(l_quantity) AS BIGINT) AS quantity"
 NOW = where("Day", "Between", "1997-02-01", "1997-02-28")
@@ -47,7 +47,7 @@ def said(name: str, text: str, sql: str) -> None:
         return trade_engine(spark, sf_dir).sql(text)
 
 
-DAYS = "\"Day\" BETWEEN '1996-01-01' AND '1998-12-31'"
+DAYS = "\"Day\" BETWEEN '1995-01-01' AND '2001-12-31'"
 said("sql_select", f'SELECT "Brand" AS brand, "Quantity" AS quantity, "Unit Price" AS unit_price FROM sales WHERE {DAYS} AND "Type" <> \'PROMO\' ORDER BY quantity DESC, brand OFFSET 2 ROWS FETCH NEXT 8 ROWS ONLY', f"SELECT p_brand AS brand, {Q}, round(sum(l_extendedprice) / sum(l_quantity), 6) AS unit_price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {L} AND p_type <> 'PROMO' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8 OFFSET 2")
 said("sql_where", f"SELECT \"Flag\" AS flag, \"Lines\" AS lines FROM sales WHERE {DAYS} AND (\"Line\" IN ('1', '2') OR \"Line\" > 5 OR \"Line Status\" LIKE '%F%') AND \"Flag\" NOT IN ('N') AND \"Line Status\" IS NOT NULL", f"SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem WHERE {L} AND (l_linenumber IN (1, 2) OR l_linenumber > 5 OR contains(l_linestatus, 'F')) AND l_returnflag NOT IN ('N') GROUP BY 1")
 said("sql_having", f'SELECT "Supplier ID" AS id, "Lines" AS lines FROM sales WHERE {DAYS} HAVING "Lines" > 260', f"SELECT l_suppkey AS id, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1 HAVING count(*) > 260")
@@ -158,7 +158,7 @@ def _named(spark, sf_dir, facts, bodies: dict[str, dict], **more) -> list[tuple[
     return out
 
 
-PLAIN = request("sales", {"part_id": "Part ID", "quantity": "Quantity"})
+PLAIN = request("sales", {"part_id": "Part ID", "quantity": "Quantity"}, day=where("Day", "Between", "1996-01-01", "1998-12-31"))
 FINE = request("sales", {"supplier_id": "Supplier ID", "quantity": "Quantity"})
 OLD = request("sales", {"part_id": "Part ID", "quantity": "Quantity"}, day=where("Day", "=", "1995-06-01"))
 
@@ -234,3 +234,55 @@ def _buckets(s, d):
 
 _choice("cube_bucketing", _buckets, [("set by name", "1"), ("dry run", "2"), ("about half", "True")])
 ask("cube_view_rollup", request("branches", {"channel": "Channel", "quantity": "Quantity"}), f"SELECT CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'sales' END AS channel, {Q} FROM lineitem WHERE {L} GROUP BY 1")
+
+
+@query("cur_inject", 'SELECT count(*) AS "TOTALROWS" FROM customer')
+def _(spark, sf_dir):
+    """A row count that the default result brings along."""
+    body = request("sales", {"customer_id": "Customer ID", "segment": "Segment"}, includeRowCount=True, curators={"default": {}})
+    return trade_engine(spark, sf_dir).execute({**body, "rowsPerPage": 5})["rowcount"]
+
+
+def _two_engines(part_type: str):
+    """A fast engine that holds returned lines only here, so that the rows tell which was chosen; not for filters that name many keys."""
+
+    def run(spark, sf_dir):
+        from ..operators.filters import Filter
+        from ..plans.select import Preference, RangeLookup
+
+        r = registry()
+        base = sales_fact()
+        fast = base.alternative_engine("lineitem_fast", "fast", table="lines_returned")
+        r.cubes["sales", 0] = replace(r.cubes["sales", 0], facts=(base, fast))
+        r.dims["part"] = replace(r.dims["part"], table=replace(r.dims["part"].table, high_cardinality_filters=(Filter("=", "p_type", ("PROMO",)),)))
+        every = lambda n: RangeLookup([(0, 10**12, n)])
+        prefer = Preference({"fast": every(1), "spark": every(2)}, {"fast": every(2), "spark": every(1)})
+        return trade_engine(spark, sf_dir, registry=r, preference=prefer).frame(request("sales", {"brand": "Brand", "lines": "Lines"}, where("Type", "=", part_type)))
+
+    return run
+
+
+BRANDS = f"SELECT p_brand AS brand, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {L} AND p_type = "
+register("flt_high_card", _two_engines("PROMO"), f"{BRANDS} 'PROMO' GROUP BY 1")
+register("flt_low_card", _two_engines("SMALL"), f"{BRANDS} 'SMALL' AND l_returnflag = 'R' GROUP BY 1")
+
+
+def _of_revision(user: str):
+    """Of revision 0 and 1 of the cube, the second reads returned lines only."""
+
+    def run(spark, sf_dir):
+        from ..plans.select import Buckets
+
+        r = registry()
+        cube = r.cubes["sales", 0]
+        r.add(replace(cube, revision=1, facts=tuple(replace(f, table="lines_returned") for f in cube.facts)))
+        chosen = Buckets(((0, 0), (1, 100)), users={"anna": 0})
+        body = request("sales", {"flag": "Flag", "lines": "Lines"}, additionalParameters={"UserId": user})
+        return trade_engine(spark, sf_dir, registry=r, buckets={"sales": chosen}).frame(body)
+
+    return run
+
+
+COUNTED = f"SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem WHERE {L}"
+register("cube_bucketing_user", _of_revision("anna"), f"{COUNTED} GROUP BY 1")
+register("cube_bucketing_share", _of_revision("bert"), f"{COUNTED} AND l_returnflag = 'R' GROUP BY 1")

@@ -72,18 +72,23 @@ ask(
 )
 
 
-@query("join_partition_keys", "SELECT c_nationkey AS nation, count(*) AS pairs, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 7 = s_suppkey % 7 GROUP BY 1")
-def _(spark, sf_dir):
-    """Tables that share partition columns are joined on those too."""
+def _partitioned():
+    """Customers and nations share a partition column."""
+    from dataclasses import replace
+
     from pyspark.sql import functions as F
 
-    from ..operators.joins import with_partitions
-    from ..sources import folder
+    from ..cubes.trade import registry
+    from ..model import DimCol, IntType
+
+    r = registry()
+    for d, key in (("customer", "c_custkey"), ("nation", "n_nationkey")):
+        own = DimCol("shard", IntType(), expr=lambda _, key=key: F.col(key) % 5, partition=True)
+        r.dims[d] = replace(r.dims[d], table=replace(r.dims[d].table, columns=(*r.dims[d].table.columns, own)))
+    return r
+
 
-    t = folder(spark, sf_dir)
-    c = t("customer").select(F.col("c_nationkey").alias("k"), (F.col("c_custkey") % 7).alias("part"))
-    s = t("supplier").select(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 7).alias("part"), "s_suppkey")
-    return with_partitions(c, s, ["k"], ["part"]).groupBy(F.col("k").alias("nation")).agg(F.count(F.lit(1)).alias("pairs"), F.sum("s_suppkey").alias("keys"))
+ask("join_partition_keys", request("sales", {"customer_id": "Customer ID", "nation": "Nation"}), "SELECT c_custkey AS customer_id, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 5 = n_nationkey % 5", registry=_partitioned)
 
 
 @query("join_range_lookup", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' WHEN p_size < 45 THEN 'large' END AS class, count(*) AS parts FROM part GROUP BY 1")

@@ -29,7 +29,10 @@ ask("win_total_rows", request("sales", {"customer_id": "Customer ID", "segment":
 ask("win_grand_count_fact", request("sales", BY, where("Quantity", ">", 7000), includeRowCount=True, sort=[("quantity", "DESC"), ("supplier_id", "ASC")], rowsPerPage=4), f'SELECT *, count(*) OVER () AS "TOTALROWS" FROM ({SUPPLIERS} HAVING sum(l_quantity) > 7000) ORDER BY 2 DESC, 1 LIMIT 4')
 
 
-@query("win_row_number", f"SELECT row_number() OVER (PARTITION BY flag ORDER BY quantity DESC, supplier_id) AS rank, * FROM (SELECT l_returnflag AS flag, l_suppkey AS supplier_id, {Q} FROM lineitem WHERE {L} GROUP BY 1, 2) QUALIFY rank <= 5")
+ask("win_row_number", request("sales", BY, sort=[("quantity", "DESC"), ("supplier_id", "ASC")], paginationStartIndex=20, rowsPerPage=10, additionalParameters={"RowNumber": True}), f'SELECT * FROM (SELECT *, row_number() OVER (ORDER BY quantity DESC, supplier_id) AS "ROWNUM" FROM ({SUPPLIERS})) WHERE "ROWNUM" BETWEEN 21 AND 30')
+
+
+@query("win_row_number_by_group", f"SELECT row_number() OVER (PARTITION BY flag ORDER BY quantity DESC, supplier_id) AS rank, * FROM (SELECT l_returnflag AS flag, l_suppkey AS supplier_id, {Q} FROM lineitem WHERE {L} GROUP BY 1, 2) QUALIFY rank <= 5")
 def _(spark, sf_dir):
     """Rows numbered within a group; the limit on them is pushed below the exchange."""
     from pyspark.sql import Window

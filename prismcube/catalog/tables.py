@@ -14,14 +14,14 @@ ask("src_fact", request("sales", {"flag": "Flag", "quantity": "Quantity"}), f"SE
 ask("src_scan", request("sales", {"order_id": "Order ID", "line": "Line", "flag": "Return Flag", "quantity": "Quantity"}, queryType="scan"), f"SELECT l_orderkey AS order_id, l_linenumber AS line, CASE l_returnflag WHEN 'R' THEN 'Returned' WHEN 'A' THEN 'Accepted' WHEN 'N' THEN 'Open' ELSE 'Other' END AS flag, l_quantity AS quantity FROM lineitem WHERE {L}")
 
 
-@query("src_multi_ds", f"SELECT l_linestatus AS status, CAST(2 * sum(l_quantity) AS BIGINT) AS quantity FROM lineitem WHERE {L} GROUP BY 1")
+@query("src_multi_ds", f"SELECT l_linestatus AS status, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem WHERE {L} GROUP BY 1")
 def _(spark, sf_dir):
-    """A fact of two tables."""
+    """A fact of two tables, the lines that came back and the others."""
     from dataclasses import replace
 
     r = registry()
     cube = r.cubes["sales", 0]
-    r.cubes["sales", 0] = replace(cube, facts=tuple(replace(f, table="lineitem,lineitem") for f in cube.facts))
+    r.cubes["sales", 0] = replace(cube, facts=tuple(replace(f, table="lines_returned,lines_kept") for f in cube.facts))
     return trade_engine(spark, sf_dir, registry=r).frame(request("sales", {"status": "Line Status", "quantity": "Quantity"}))
 
 
@@ -75,15 +75,16 @@ def _(spark, sf_dir):
     return concatenated(trade_engine(spark, sf_dir).frame(request("sales", ROWS)))
 
 
-@query("sink_api_json", "SELECT 'sales' AS cube, CAST(3 AS BIGINT) AS fields, CAST(4 AS BIGINT) AS rows, 'DIM,DIM,FACT' AS kinds")
+@query("sink_api_json", f"SELECT 'sales' AS cube, 'DIM,DIM,FACT' AS kinds, supplier_id, flag, quantity FROM ({SAME} ORDER BY 3 DESC, 1, 2 LIMIT 40)")
 def _(spark, sf_dir):
+    """The envelope's header beside its rows."""
     from ..output import envelope
 
     e = trade_engine(spark, sf_dir)
-    r = e.resolve(request("sales", ROWS, sort=[("quantity", "DESC"), ("supplier_id", "ASC")], rowsPerPage=4))
+    r = e.resolve(request("sales", ROWS, sort=[("quantity", "DESC"), ("supplier_id", "ASC"), ("flag", "ASC")], rowsPerPage=40))
     out = json.loads("".join(envelope(r, e.planner.frame(r), debug=True)))
-    h = out["header"]
-    return spark.range(1).select(F.lit(h["cube"]).alias("cube"), F.lit(len(h["fields"])).cast("bigint").alias("fields"), F.lit(len(out["rows"])).cast("bigint").alias("rows"), F.lit(",".join(f["fieldType"] for f in h["fields"])).alias("kinds"))
+    head = (out["header"]["cube"], ",".join(f["fieldType"] for f in out["header"]["fields"]))
+    return spark.createDataFrame([(*head, *row) for row in out["rows"]], "cube string, kinds string, supplier_id bigint, flag string, quantity bigint")
 
 
 @query("meta_domain")

@@ -37,7 +37,7 @@ class Curator:
     priority: int = 0
     needs_default: bool = False
     singleton: bool = False
-    injects: tuple[str, ...] = ()
+    injects: Callable[[Request], tuple[str, ...]] = lambda request: ()
     validators: list[Callable[[Request, dict[str, Any]], None]] = field(default_factory=list)
 
 
@@ -136,7 +136,8 @@ def drill_down(engine: Engine, request: Request, config: dict, done: dict) -> Da
 CURATORS = {
     c.name: c
     for c in (
-        Curator("default", default, 0),
+        # A page with a row count brings the count of all rows along, but where dimensions drive: there it is in the page.
+        Curator("default", default, 0, injects=lambda request: ("rowcount",) if request.row_count and not request.dimension_driven else ()),
         Curator("timeshift", time_shift, 1, singleton=True),
         Curator("totalmetrics", total_metrics, 1, 1),
         Curator("rowcount", row_count, 1, 2),
@@ -153,13 +154,14 @@ def coordinate(engine: Engine, request: Request | dict | str, curators: dict[str
     for name in list(asked):
         if name not in known:
             raise RequestError(f"there is no curator {name}")
-        for extra in known[name].injects:
-            asked.setdefault(extra, {})
     for name in asked:
         if known[name].singleton and len([n for n in asked if n != "default"]) > 1:
             raise RequestError(f"{name} can't be combined with other curators")
     if not any(known[n].singleton for n in asked):
         asked.setdefault("default", {})
+        for name in list(asked):  # what was asked for itself keeps its own configuration
+            for extra in known[name].injects(request):
+                asked.setdefault(extra, {})
     done: dict[str, DataFrame] = {}
     for name in sorted(asked, key=lambda n: (known[n].level, known[n].priority)):
         c = known[name]

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.lookup import Namespace
 from .model import Registry
 from .plans.lower import Planner
 from .plans.resolve import Resolved, resolve
@@ -22,10 +23,11 @@ class Engine:
     def __init__(
         self, spark: SparkSession, registry: Registry, source: Callable[[str], DataFrame], *, schema: str = "default", today: Callable[[], date] = date.today,
         preference: Preference | None = None, estimate=None, buckets: Mapping[str, Buckets] | None = None, listeners: tuple[Callable[[Request, Resolved], None], ...] = (),
+        namespaces: Mapping[str, Namespace] | Callable[[str], Namespace] | None = None,
     ):
         self.spark, self.registry, self.schema, self.today = spark, registry, schema, today
         self.preference, self.estimate, self.buckets, self.listeners = preference, estimate, dict(buckets or {}), listeners
-        self.planner = Planner(spark, registry, source)
+        self.planner = Planner(spark, registry, source, namespaces.__getitem__ if isinstance(namespaces, Mapping) else namespaces)
 
     def resolve(self, request: Request | Mapping[str, Any] | str) -> Resolved:
         request = request if isinstance(request, Request) else from_json(request)

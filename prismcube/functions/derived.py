@@ -1,13 +1,15 @@
 """Functions of derived expressions, and the small expression language with safe division.
 
 An expression is written over {column} references: `{revenue} /- {quantity}`, `sum({a} * {b}) /- sum({b})`.  `/-` is
-safe division: 0.0 for a denominator of 0, null for null.  Plain `/` gives null for 0 instead of an error.
+safe division: 0.0 for a denominator of 0, null for null.  Plain `/` gives null for 0 instead of an error.  Functions
+take columns, numbers and 'texts'; those of WRITTEN take formats, searches and the like as they are written.  <name> and
+<name|default> stand for what the request says, see `with_replacements`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 from operator import add
 
@@ -30,8 +32,16 @@ def _div(a: Column, b: Column) -> Column:
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "sum": F.sum, "max": F.max, "min": F.min, "avg": F.avg, "count": F.count, "count_distinct": F.count_distinct, "coalesce": F.coalesce,
-    "nvl": F.coalesce, "trim": F.trim, "abs": F.abs, "lower": F.lower, "upper": F.upper, "least": F.least, "greatest": F.greatest,
+    "nvl": F.coalesce, "nullif": F.nullif, "concat": F.concat, "timestamp_millis": F.timestamp_millis, "trim": F.trim, "abs": F.abs, "lower": F.lower, "upper": F.upper, "least": F.least, "greatest": F.greatest,
 }
+#: Native translations of an application's own functions: javascript('name', {a}, ...).
+NATIVE: dict[str, Callable[..., Column]] = {}
+
+
+def register_native(name: str, made: Callable[..., Column]) -> None:
+    NATIVE[name] = made
+
+
 AGGREGATES = {"sum", "max", "min", "avg", "count", "count_distinct"}
 
 
@@ -68,16 +78,18 @@ def parse(text: str, resolve: Callable[[str], Column], *, raw: Callable[[str], C
         at += 1
         return tokens[at - 1]
 
+    def constant(m):
+        number, string = m.group(1), m.group(3)
+        return string.replace("''", "'") if number is None else float(number) if "." in number else int(number)
+
     def factor() -> Column:
         nonlocal depth
         m = take()
         number, ref, string, sign, name = m.groups()
-        if number:
-            return F.lit(float(number) if "." in number else int(number))
+        if number or string is not None:
+            return F.lit(constant(m))
         if ref:
             return raw(ref) if raw and depth else resolve(ref)
-        if string is not None:
-            return F.lit(string.replace("''", "'"))
         if sign == "-":
             return -factor()
         if sign == "(":
@@ -87,19 +99,25 @@ def parse(text: str, resolve: Callable[[str], Column], *, raw: Callable[[str], C
             return out
         if name and peek() == "(":
             take()
-            args, inside = [], name.lower() in AGGREGATES
+            args, written, inside = [], {}, name.lower() in AGGREGATES
             depth += inside
             while peek() != ")":
+                began = at
                 args.append(sums())
+                if at - began == 1 and (tokens[began].group(1) or tokens[began].group(3) is not None):
+                    written[len(args) - 1] = constant(tokens[began])
                 if peek() == ",":
                     take()
             take()
             depth -= inside
             if inside and aggregate:
                 return aggregate(name.lower(), *args)
-            if name.lower() == "round":
-                scale = int(tokens[at - 2].group(1))
-                return F.round(args[0], scale)
+            if name.lower() in WRITTEN:
+                try:
+                    # What a function is of is a column; the rest as it is written.
+                    return WRITTEN[name.lower()](*[a if k == 0 and name.lower() != "javascript" else written.get(k, a) for k, a in enumerate(args)])
+                except (TypeError, KeyError) as e:
+                    raise ExpressionError(f"{name} can't take its arguments in {text!r}") from e
             if name.lower() not in FUNCTIONS:
                 raise ExpressionError(f"unknown function {name}")
             return FUNCTIONS[name.lower()](*args)
@@ -127,12 +145,29 @@ def parse(text: str, resolve: Callable[[str], Column], *, raw: Callable[[str], C
     return out
 
 
-def with_replacements(text: str, context: dict[str, str]) -> str:
-    """An expression whose <placeholders> are filled in from the request's context."""
-    missing = [k for k in re.findall(r"<(\w+)>", text) if k not in context]
-    if missing:
-        raise ExpressionError(f"no value for {', '.join(missing)}")
-    return re.sub(r"<(\w+)>", lambda m: context[m[1]], text)
+_PLACE = re.compile(r"'(?:[^']|'')*'|<(\w+)(?:\|([^<>]*))?>")
+_INSIDE = re.compile(r"<(\w+)(?:\|([^<>]*))?>")
+
+
+def with_replacements(text: str, context: Mapping[str, object]) -> str:
+    """An expression whose <placeholders> are filled in from the request's context.  Inside of quotes any text can stand
+    for one, outside only a number: what a request says never becomes more than a constant."""
+
+    def found(m) -> str:
+        value = context.get(m[1], m[2])
+        if value is None:
+            raise ExpressionError(f"no value for {m[1]}")
+        return str(value)
+
+    def place(m) -> str:
+        if m[0][0] == "'":
+            return _INSIDE.sub(lambda k: found(k).replace("'", "''"), m[0])
+        value = found(m)
+        if not re.fullmatch(r"-?\d+(\.\d+)?", value):
+            raise ExpressionError(f"{m[1]} takes a number")
+        return value
+
+    return _PLACE.sub(place, text)
 
 
 def decode(value: Column, *args) -> Column:
@@ -205,3 +240,78 @@ def video_weighted(q25: Column, q50: Column, q75: Column, q100: Column) -> Colum
 
 def video_sum(*parts: Column) -> Column:
     return reduce(add, parts)
+
+
+def _column(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def decode_dim(c: Column, *args) -> Column:
+    """As decode, but without a default the value itself stays."""
+    return decode(c, *args) if len(args) % 2 else decode(c, *args, c)
+
+
+def substring(c: Column, index: int, length: int) -> Column:
+    """index counts from 0."""
+    return F.substring(c, index + 1, length)
+
+
+def interval_text(c: Column, source_format: str, out_format: str) -> Column:
+    return F.date_format(F.to_date(c, source_format), out_format)
+
+
+def time_format(ts: Column, fmt: str, zone: str = "UTC") -> Column:
+    return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), fmt)
+
+
+PERIODS = {"P1D": "day", "P1W": "week", "P1M": "month", "P3M": "quarter", "P1Y": "year", "PT1H": "hour", "PT1M": "minute"}
+
+
+def time_format_period(ts: Column, fmt: str, period: str, zone: str = "UTC") -> Column:
+    if period not in PERIODS:
+        raise ExpressionError(f"unknown period {period}")
+    return F.date_format(F.date_trunc(PERIODS[period], F.from_utc_timestamp(ts.cast("timestamp"), zone)), fmt)
+
+
+def native(name: str, *columns) -> Column:
+    """JavaScript isn't evaluated: its native translation is registered by name."""
+    if name not in NATIVE:
+        raise ExpressionError(f"no native translation of {name} is registered")
+    return NATIVE[name](*map(_column, columns))
+
+
+def iso_week(d: Column) -> Column:
+    """Year and week of the ISO calendar as xxxx-w."""
+    d = d.cast("date")
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), d).cast("string"), F.lit("-"), F.weekofyear(d).cast("string"))
+
+
+def week_start(c: Column) -> Column:
+    """The Monday of a week xxxx-w."""
+    part = lambda k: F.try_element_at(F.split(c.cast("string"), "-"), F.lit(k)).try_cast("int")
+    first = F.date_trunc("week", F.make_date(part(1), F.lit(1), F.lit(4))).cast("date")  # January 4 is in week 1
+    return F.date_format(F.date_add(first, (part(2) - 1) * 7), "yyyy-MM-dd")
+
+
+def month_start(d: Column) -> Column:
+    return F.date_format(F.trunc(d.cast("date"), "MM"), "yyyy-MM-dd")
+
+
+def day_text(d: Column, source_format: str | None = None) -> Column:
+    return F.date_format(F.to_date(d, source_format) if source_format else d, "yyyy-MM-dd")
+
+
+def number(c: Column, scale: int = 10) -> Column:
+    """Half-even to the scale."""
+    return F.bround(c, scale)
+
+
+#: Functions that take arguments as they are written.
+WRITTEN: dict[str, Callable[..., Column]] = {
+    "round": F.round, "trunc": truncate, "decode": decode, "decode_dim": decode, "decode_retain": decode_dim,
+    "compare_percentage": lambda a, b, pct, value, rest: compare_percentage([(a, _column(b), pct, value)], rest), "regex_extract": lambda c, p, k, rest=None: regex_extract(c, p, k, rest is not None, rest or ""),
+    "get_interval_date": interval_date, "interval_text": interval_text, "format_date": format_date, "format_date_with_least": format_date_least, "timestamp_to_formatted_date": millis_to_date,
+    "to_char": to_char, "day_of_week": day_of_week, "time_format_with_timezone": time_format_zone, "time_format": time_format, "time_format_period": time_format_period, "substr": substring,
+    "javascript": native, "iso_week": iso_week, "start_of_the_week": week_start, "start_of_the_month": month_start, "day_text": day_text, "number": number,
+    "video_weighted": lambda *a: video_weighted(*map(_column, a)), "video_sum": lambda *a: video_sum(*map(_column, a)),
+}

@@ -1,46 +1,25 @@
-"""Extraction functions of dimensions, and functions on the rows of a result."""
+"""Extraction functions of dimensions and functions on the rows of a result, as Python callables over columns.
+
+The expression language has each of them by name (`derived.WRITTEN`); these are for columns that are declared by a
+function instead of a text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .derived import ExpressionError, decode, regex_extract
-
-regex = regex_extract
+from .derived import ExpressionError, day_text, decode, decode_dim, interval_text, iso_week, month_start, number, regex_extract, substring, time_format, time_format_period, week_start
 
+__all__ = ["day_text", "decode_dim", "interval_date", "iso_week", "javascript", "month_start", "number", "post_decode", "regex", "substring", "time_format", "time_format_context", "time_format_period", "week_start", "weekday"]
 
-def interval_date(c: Column, source_format: str, out_format: str) -> Column:
-    return F.date_format(F.to_date(c, source_format), out_format)
+regex, interval_date = regex_extract, interval_text
 
 
 def weekday(c: Column, source_format: str = "yyyy-MM-dd") -> Column:
     return F.date_format(F.to_date(c, source_format), "EEEE")
 
 
-def substring(c: Column, index: int, length: int) -> Column:
-    """index counts from 0."""
-    return F.substring(c, index + 1, length)
-
-
-def decode_dim(c: Column, *args) -> Column:
-    """As decode, but without a default the value itself stays."""
-    return decode(c, *args) if len(args) % 2 else decode(c, *args, c)
-
-
-def time_format(ts: Column, fmt: str, zone: str = "UTC") -> Column:
-    return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), fmt)
-
-
-PERIODS = {"P1D": "day", "P1W": "week", "P1M": "month", "P3M": "quarter", "P1Y": "year", "PT1H": "hour", "PT1M": "minute"}
-
-
-def time_format_period(ts: Column, fmt: str, period: str, zone: str = "UTC") -> Column:
-    if period not in PERIODS:
-        raise ExpressionError(f"unknown period {period}")
-    return F.date_format(F.date_trunc(PERIODS[period], F.from_utc_timestamp(ts.cast("timestamp"), zone)), fmt)
-
-
 def time_format_context(ts: Column, fmt: str, context: dict) -> Column:
     """The zone comes from the request."""
     return time_format(ts, fmt, context.get("TimeZone", "UTC"))
@@ -57,20 +36,3 @@ def post_decode(value: Column, mapping: dict, default: Column | None = None) ->
     """A literal or another column for each value."""
     args = [x for k, v in mapping.items() for x in (k, v)]
     return decode(value, *args, value if default is None else default)
-
-
-def week_start(d: Column) -> Column:
-    return F.date_format(F.date_trunc("week", d), "yyyy-MM-dd")
-
-
-def month_start(d: Column) -> Column:
-    return F.date_format(F.trunc(d.cast("date"), "MM"), "yyyy-MM-dd")
-
-
-def day_text(d: Column, source_format: str | None = None) -> Column:
-    return F.date_format(F.to_date(d, source_format) if source_format else d, "yyyy-MM-dd")
-
-
-def number(c: Column, scale: int = 10) -> Column:
-    """Half-even to the scale."""
-    return F.bround(c, scale)

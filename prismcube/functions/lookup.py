@@ -1,8 +1,8 @@
 """Lookups: enrichment of a key from a namespace.
 
 A namespace is a DataFrame of one row a key.  Each lookup is a left join on the key, which Spark broadcasts or shuffles
-by the namespace's measured size; a `broadcast` hint is only given where `rows` says that it is small.  A miss gives
-null, unless the kind of lookup says otherwise; a null or empty key gives null.
+by the namespace's measured size.  A miss gives null, unless the kind of lookup says otherwise; a null or empty key gives
+null.  A cube declares lookups as columns (`model.Lookup`), which the planner attaches by `attach` and computes by `value`.
 """
 
 from __future__ import annotations
@@ -12,11 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .derived import decode
-
-#: Rows up to which a namespace of known size is broadcast.
-SMALL = 100_000
-
+from ..model import Lookup
+from .derived import decode, parse, references
 
 class LookupError_(ValueError):
     """A lookup is declared wrongly."""
@@ -25,11 +22,11 @@ class LookupError_(ValueError):
 class Namespace:
     """Lookup values by key; of several rows with a key the latest by `updated` counts."""
 
-    def __init__(self, name: str, df: DataFrame, key: str, *, updated: str | None = None, rows: int | None = None):
+    def __init__(self, name: str, df: DataFrame, key: str, *, updated: str | None = None):
         if updated:
             best = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), updated).alias("_v"))
             df = best.select(key, "_v.*")
-        self.name, self.df, self.key, self.rows = name, df, key, rows
+        self.name, self.df, self.key = name, df, key
 
     def introspect(self, what: str = "entries", limit: int | None = None) -> DataFrame:
         """keys, values or entries, at most `limit` of them."""
@@ -46,57 +43,23 @@ def _override(value: Column, mapping: dict | None, on: Column) -> Column:
 def attach(df: DataFrame, ns: Namespace, key: str, columns: list[str]) -> DataFrame:
     """The namespace's columns as _<name>, null where the key is missing, null or empty."""
     held = ns.df.select(F.col(ns.key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
-    held = F.broadcast(held) if ns.rows is not None and ns.rows <= SMALL else held
     k = F.col(key) if dict(df.dtypes)[key] != "string" else F.when(F.col(key) != "", F.col(key))
     return df.join(held, k == F.col("_key"), "left").drop("_key")
 
 
-def lookup(df: DataFrame, ns: Namespace, key: str, column: str, out: str, *, key_map: dict | None = None, value_map: dict | None = None,
-           retain: bool = False, override: str | None = None, then: Callable[[Column], Column] | None = None) -> DataFrame:
-    """df with `out`.  key_map short-cuts keys; value_map rewrites values; retain: a miss gives the key; override: a miss or empty gives it."""
-    if key_map and value_map:
-        raise LookupError_("a key map and a value map can't be used together")
-    v = F.col(f"_{column}").cast("string")
-    v = _override(v, key_map, F.col(key))
-    v = _override(v, value_map, v)
-    if retain:
-        v = F.coalesce(v, F.col(key).cast("string"))
-    if override is not None:
-        v = F.when(F.coalesce(v, F.lit("")) == "", F.lit(override)).otherwise(v)
-    return attach(df, ns, key, [column]).withColumn(out, then(v) if then else v).drop(f"_{column}")
-
-
-def lookup_decode(df: DataFrame, ns: Namespace, key: str, column: str, out: str, *args, retain: bool = False, key_map: dict | None = None) -> DataFrame:
-    """Looked up, then decoded; retain: what isn't mapped stays as looked up."""
-    return lookup(df, ns, key, column, out, key_map=key_map, then=lambda v: decode(v, *args, *([v] if retain and len(args) % 2 == 0 else [])))
-
-
-def lookup_other(df: DataFrame, ns: Namespace, key: str, check: str, value: str, if_equal: str, otherwise: str, out: str, *, missing: str | None = None) -> DataFrame:
-    """One of two columns, by whether a third has the value; missing: the default of a miss."""
-    columns = list(dict.fromkeys([check, if_equal, otherwise]))
-    v = F.when(F.col(f"_{check}").cast("string") == value, F.col(f"_{if_equal}").cast("string")).otherwise(F.col(f"_{otherwise}").cast("string"))
-    v = v if missing is None else F.coalesce(v, F.lit(missing))
-    return attach(df, ns, key, columns).withColumn(out, v).drop(*[f"_{c}" for c in columns])
-
-
-def lookup_time(df: DataFrame, ns: Namespace, key: str, column: str, out: str, input_format: str, output_format: str) -> DataFrame:
-    return lookup(df, ns, key, column, out, then=lambda v: F.date_format(F.try_to_timestamp(v, F.lit(input_format)), output_format))
-
-
-def lookup_timestamp(df: DataFrame, ns: Namespace, key: str, column: str, out: str, fmt: str, *, zone: str = "UTC", override: str | None = None, as_millis: bool = False) -> DataFrame:
-    made = (lambda v: F.timestamp_millis(v.cast("bigint"))) if as_millis else (lambda v: v.cast("timestamp"))
-    show = lambda v: F.date_format(F.from_utc_timestamp(made(v), zone), fmt)
-    return lookup(df, ns, key, column, out, then=lambda v: show(v) if override is None else F.coalesce(show(v), F.lit(override)))
-
+def value(look: Lookup, key: Column, found: Callable[[str], Column]) -> Column:
+    """What a declared lookup gives; found: the Column of a namespace's column."""
+    v = found(look.value).cast("string") if look.value else parse(look.expr, lambda n: key if n == "key" else found(n))
+    v = _override(v, dict(look.keys), key)
+    v = _override(v, dict(look.values), v)
+    if look.retain:
+        v = F.coalesce(v, key.cast("string"))
+    if look.then:
+        v = parse(look.then, lambda n: key if n == "key" else v)
+    if look.missing is not None:
+        v = F.when(F.coalesce(v, F.lit("")) == "", F.lit(look.missing)).otherwise(v)
+    return v
 
-def sql_lookup(df: DataFrame, spaces: dict[str, Namespace], call: str, out: str) -> DataFrame:
-    """LOOKUP(key, 'namespace', 'column'[, 'missing'][, 'a->b,...' values][, 'a->b,...' keys])."""
-    import re
 
-    m = re.fullmatch(r"\s*\w*LOOKUP\s*\((.*)\)\s*", call, re.I | re.S)
-    args = [a.strip().strip("'") for a in re.findall(r"\s*('[^']*'|[^,']+)", m[1]) if a.strip()] if m else []
-    if not 3 <= len(args) <= 6:
-        raise LookupError_(f"LOOKUP takes three to six arguments: {call}")
-    pairs = lambda s: dict(x.split("->", 1) for x in s.split(",") if x) if s else None
-    args += [""] * (6 - len(args))
-    return lookup(df, spaces[args[1]], args[0], args[2], out, override=args[3] or None, value_map=pairs(args[4]), key_map=pairs(args[5]))
+def columns_of(look: Lookup) -> list[str]:
+    return [look.value] if look.value else [n for n in references(look.expr) if n != "key"]

@@ -84,6 +84,34 @@ ColumnType = IntType | StrType | DecType | DateType | TimestampType | Passthroug
 #: Expressions are SQL over the names of the table's columns, or functions of a resolver name -> Column.
 Expr = str | Callable[[Callable[[str], Column]], Column]
 
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """What a namespace says of a key, a column of the table.
+
+    value: a column of the namespace, or expr: an expression over {columns} of it and {key}.  keys and values short-cut
+    keys and rewrite what is found; retain: a miss gives the key; missing: a miss or an empty text gives it.  then: an
+    expression over {value}, what has been found.
+    """
+
+    namespace: str
+    key: str
+    value: str | None = None
+    expr: str | None = None
+    keys: tuple[tuple[Any, str], ...] = ()
+    values: tuple[tuple[str, str], ...] = ()
+    retain: bool = False
+    missing: str | None = None
+    then: str | None = None
+
+    def __post_init__(self):
+        if (self.value is None) == (self.expr is None):
+            raise ModelError(f"a lookup in {self.namespace} needs a value or an expression")
+        if self.keys and self.values:
+            raise ModelError("a map of keys and a map of values can't be used together")
+
+
 EQUALITY = frozenset({"In", "=", "Not In", "<>"})
 EVERY_OP = frozenset(
     {"In", "Not In", "Between", "DateTimeBetween", "=", "==", ">", "<", "Like", "Not Like", "<>", "IsNull", "IsNotNull", "Or", "And", "JavaScript"}
@@ -107,6 +135,8 @@ class DimCol:
     partition: bool = False
     restricted_to: frozenset[str] = frozenset()
     uses: tuple[str, ...] = ()
+    lookup: Lookup | None = None
+    post: str | None = None  # over {value} and other columns of the result, once its page is there
 
 
 @dataclass(frozen=True)
@@ -123,6 +153,7 @@ class FactCol:
     uses: tuple[str, ...] = ()
     required: tuple[str, ...] = ()
     incompatible: tuple[str, ...] = ()
+    post: str | None = None
 
 
 # -- tables --------------------------------------------------------------------------------------------------------
@@ -191,19 +222,19 @@ class FactTable:
     def alternative_engine(self, name: str, engine: str, **more) -> FactTable:
         if engine == self.engine:
             raise ModelError("an alternative needs another engine")
-        return replace(self, name=name, engine=engine, table=self.table or self.name, parent=self.name, **more)
+        return replace(self, name=name, engine=engine, **{"table": self.table or self.name, "parent": self.name, **more})
 
     def available_onwards(self, name: str, day: date, **more) -> FactTable:
-        return replace(self, name=name, available_from=day, table=self.table or self.name, parent=self.name, **more)
+        return replace(self, name=name, available_from=day, **{"table": self.table or self.name, "parent": self.name, **more})
 
     def new_grain(self, name: str, grain: str, **more) -> FactTable:
-        return replace(self, name=name, grain=grain, table=self.table or self.name, parent=self.name, **more)
+        return replace(self, name=name, grain=grain, **{"table": self.table or self.name, "parent": self.name, **more})
 
     def new_schema(self, name: str, schemas: Sequence[str], **more) -> FactTable:
-        return replace(self, name=name, schemas=frozenset(schemas), table=self.table or self.name, parent=self.name, **more)
+        return replace(self, name=name, schemas=frozenset(schemas), **{"table": self.table or self.name, "parent": self.name, **more})
 
     def new_schema_and_grain(self, name: str, schemas: Sequence[str], grain: str, **more) -> FactTable:
-        return replace(self, name=name, schemas=frozenset(schemas), grain=grain, table=self.table or self.name, parent=self.name, **more)
+        return replace(self, name=name, schemas=frozenset(schemas), grain=grain, **{"table": self.table or self.name, "parent": self.name, **more})
 
 
 def union_view(name: str, branches: Sequence[tuple[FactTable, dict[str, Any]]], **more) -> FactTable:
@@ -369,6 +400,27 @@ class Registry:
         return None
 
 
+def bound(table, context: dict[str, Any]):
+    """The table with what a request says in the place of <name> in its expressions."""
+    from .functions.derived import with_replacements
+    from .operators.rollups import Custom
+
+    def filled(c):
+        changes = {k: with_replacements(v, context) for k in ("expr", "post") if isinstance(v := getattr(c, k), str) and "<" in v}
+        rollup = getattr(c, "rollup", None)
+        if isinstance(rollup, Custom) and isinstance(rollup.expr, str) and "<" in rollup.expr:
+            changes["rollup"] = Custom(with_replacements(rollup.expr, context))
+        if (k := getattr(c, "lookup", None)) is not None:
+            inner = {n: with_replacements(v, context) for n in ("expr", "then") if isinstance(v := getattr(k, n), str) and "<" in v}
+            if inner:
+                changes["lookup"] = replace(k, **inner)
+        return replace(c, **changes) if changes else c
+
+    if isinstance(table, DimTable):
+        return replace(table, columns=tuple(map(filled, table.columns)))
+    return replace(table, dims=tuple(map(filled, table.dims)), metrics=tuple(map(filled, table.metrics)))
+
+
 def column_type_cast(c: Column, type_: ColumnType) -> Column:
     return c.cast(type_.spark) if not isinstance(type_, PassthroughType) else c
 

@@ -43,12 +43,20 @@ def csv_lines(df: DataFrame, *, header: bool = True, separator: str = ",") -> It
         s = "" if v is None else str(v)
         return '"' + s.replace('"', '""') + '"' if any(c in s for c in (separator, '"', "\n", "\r")) else s
 
+    _bounded(df)
     if header:
         yield separator.join(map(quoted, df.columns))
     for row in df.toLocalIterator():
         yield separator.join(map(quoted, row))
 
 
+def _bounded(df: DataFrame) -> None:
+    """What goes through the driver is a page: a plan that ends without a limit is refused."""
+    kind = df._jdf.queryExecution().optimizedPlan()
+    if kind.maxRows().isEmpty():
+        raise ValueError("only a page can be streamed through the driver: set rowsPerPage, or use write_csv or write_json")
+
+
 def envelope(r: Resolved, df: DataFrame, curators: dict[str, DataFrame] | None = None, *, debug: bool = False) -> Iterator[str]:
     """{"header": {cube, fields, maxRows}, "rows": [...], "curators": {...}} in pieces; rows are streamed, as a page can be long."""
     kinds = {"metric": "FACT", "const": "CONSTANT"}
@@ -69,6 +77,7 @@ def envelope(r: Resolved, df: DataFrame, curators: dict[str, DataFrame] | None =
 
 
 def _rows(df: DataFrame) -> Iterator[str]:
+    _bounded(df)
     for n, row in enumerate(df.toLocalIterator()):
         yield ("," if n else "") + json.dumps(list(row), default=str)
 

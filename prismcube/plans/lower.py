@@ -14,14 +14,17 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import DateType, DimCol, DimTable, FactTable, Registry, TimestampType, mapped
+from ..functions.derived import parse, references
+from ..functions.lookup import Namespace, attach, columns_of
+from ..functions.lookup import value as found_value
+from ..model import DateType, DimCol, DimTable, FactTable, Registry, TimestampType, bound, mapped
 from ..operators.filters import Filter, FilterError, all_of, column_predicate, combined, predicate, with_forced
 from ..request import RequestError
 from ..timezone import windows, within
-from .metrics import Metrics, raw_column
+from .metrics import Metrics, looked_up, raw_column
 from .resolve import Item, Resolved
 
-TOTAL = "TOTALROWS"
+TOTAL, ROWNUM = "TOTALROWS", "ROWNUM"
 
 
 def constant_test(f: Filter, value) -> bool:
@@ -32,10 +35,44 @@ def constant_test(f: Filter, value) -> bool:
 
 
 class Planner:
-    """source: name of a table -> DataFrame."""
+    """source: name of a table -> DataFrame.  namespaces: name -> Namespace, for columns that are looked up."""
+
+    def __init__(self, spark: SparkSession, registry: Registry, source: Callable[[str], DataFrame], namespaces: Callable[[str], Namespace] | None = None):
+        self.spark, self.registry, self.source, self.namespaces = spark, registry, source, namespaces
+        self.context: dict = {}  # what the request in hand says
+
+    # Lookups ----------------------------------------------------------------------------------------------------------
+
+    def attached(self, df: DataFrame, cols: list[DimCol], key: Callable[[DimCol], Column]) -> DataFrame:
+        """df with what `cols` look up: one left join for each namespace and key, however many columns it gives."""
+        by: dict[tuple[str, str], list[DimCol]] = {}
+        for c in cols:
+            by.setdefault((c.lookup.namespace, c.lookup.key), []).append(c)
+        for (name, _), some in by.items():
+            if self.namespaces is None:
+                raise RequestError(f"there is no namespace {name}")
+            needed = sorted({n for c in some for n in columns_of(c.lookup)})
+            df = attach(df.withColumn("_at", key(some[0])), self.namespaces(name), "_at", needed)
+            df = df.withColumns({looked_up(c.name): found_value(c.lookup, F.col("_at"), lambda n: F.col(f"_{n}")) for c in some}).drop("_at", *[f"_{n}" for n in needed])
+        return df
+
+    @staticmethod
+    def looking(table, names: Iterable[str]) -> list[DimCol]:
+        """The columns among `names`, and among what they are derived of, that are looked up."""
+        out: dict[str, DimCol] = {}
 
-    def __init__(self, spark: SparkSession, registry: Registry, source: Callable[[str], DataFrame]):
-        self.spark, self.registry, self.source = spark, registry, source
+        def add(name: str) -> None:
+            col = table.column(name)
+            if isinstance(col, DimCol) and col.name not in out:
+                if col.lookup:
+                    out[col.name] = col
+                for u in (*col.uses, *(references(col.expr) if isinstance(col.expr, str) else ())):
+                    if u != name:
+                        add(u)
+
+        for n in names:
+            add(n)
+        return list(out.values())
 
     # Facts ----------------------------------------------------------------------------------------------------------
 
@@ -51,7 +88,7 @@ class Planner:
         """Filtered rows of the fact, and whether they have the model's names."""
         if not fact.views:
             df = self.table(fact.table or fact.name)
-            return self._where(df, r, fact, r.fact_filters, False), False
+            return self._where(df, r, fact, [f for f in r.fact_filters if f not in r.looking[1]], False), False
         out = None
         consts = set(fact.views[0][1])
         needed = sorted(set(needed) - consts)
@@ -59,16 +96,18 @@ class Planner:
             own = [f for f in r.fact_filters if f.fields() & consts]
             if not all(constant_test(f, values[f.field]) for f in own):
                 continue  # the branch isn't read at all
-            df = self._where(self.table(branch.table or branch.name), r, branch, [f for f in r.fact_filters if not f.fields() & consts], False)
+            df = self._where(self.table(branch.table or branch.name), r, branch, [f for f in r.fact_filters if not f.fields() & consts and f not in r.looking[1]], False)
             df = df.select(*[raw_column(branch, n).alias(n) for n in needed], *[F.lit(values[c]).alias(c) for c in sorted(consts)])
             out = df if out is None else out.unionByName(df)
         if out is None:
             raise RequestError("no branch of the view matches its constants")
         return out, True
 
-    def _where(self, df: DataFrame, r: Resolved, fact: FactTable, filters: list[Filter], named: bool) -> DataFrame:
+    def _where(self, df: DataFrame, r: Resolved, fact: FactTable, filters: list[Filter], named: bool, times: bool = True) -> DataFrame:
         tests = []
-        if fact.time_column:
+        if not times:
+            pass
+        elif fact.time_column:
             zone = r.request.parameters.get("TimeZone")
             kind = "date" if dict(df.dtypes).get(fact.time_column) == "date" else "timestamp"
             tests.append(within(F.col(fact.time_column), windows(r.request, zone), kind))
@@ -93,7 +132,7 @@ class Planner:
     def dim_rows(self, name: str, filters: list[Filter], columns: set[str]) -> DataFrame:
         """The dimension's filtered rows with `columns`, named d_<dimension>_<column>."""
         public = self.registry.dims[name]
-        t: DimTable = public.table
+        t: DimTable = bound(public.table, self.context)
         df = self.table(t.table or t.name)
 
         def leaf(f: Filter) -> Column:
@@ -103,12 +142,16 @@ class Planner:
             return column_predicate(f, col, raw_column(t, f.field), other=raw_column(t, f.compare_to) if f.compare_to else None)
 
         own = with_forced(with_forced(filters, t.forced_filters), public.forced_filters)
+        if look := self.looking(t, columns | {n for f in own for n in f.fields()}):
+            df = self.attached(df, look, lambda c: raw_column(t, c.lookup.key))
         test = all_of(combined(f, leaf) for f in own)
         if test is not None:
             df = df.where(test)
         if t.snapshot_column:  # the latest of each key, among what the filters leave
+            # A join with the keys' maxima, which have partial sums and a join that can be split where a key is hot.
             key = raw_column(t, t.key)
-            df = df.withColumn("_latest", F.max(t.snapshot_column).over(Window.partitionBy(key))).where(F.col("_latest") == F.col(t.snapshot_column)).drop("_latest")
+            latest = df.groupBy(key.alias("_of")).agg(F.max(t.snapshot_column).alias("_latest"))
+            df = df.join(latest, key.eqNullSafe(F.col("_of")) & (F.col(t.snapshot_column) == F.col("_latest"))).drop("_of", "_latest")
         return df.select(*[self.shown(t.column(c), raw_column(t, c)).alias(f"d_{name}_{c}") for c in sorted(columns)])
 
     @staticmethod
@@ -127,8 +170,16 @@ class Planner:
         for s in r.steps:
             if s.via:
                 out[s.via].add(self.registry.dims[s.via].table.foreign_keys[s.dim])
+                for c in self._partitions(s.via, s.dim):
+                    out[s.via].add(c)
+                    out[s.dim].add(c)
         return out
 
+    def _partitions(self, one: str, other: str) -> list[str]:
+        """Partition columns that both dimensions have: they are joined on too, which prunes partitions of either."""
+        a, b = (self.registry.dims[d].table for d in (one, other))
+        return [c.name for c in a.columns if c.partition and (x := b.column(c.name)) is not None and x.partition]
+
     def _joined(self, df: DataFrame, r: Resolved, key: Callable[[str], Column], how: str, skip: str = "") -> DataFrame:
         """df with the steps' dimensions; key: the fact's key of a dimension."""
         need = self._dim_columns(r)
@@ -138,13 +189,17 @@ class Planner:
             own = self.dim_rows(s.dim, r.dim_filters.get(s.dim, []), need[s.dim])
             pk = F.col(f"d_{s.dim}_{self.registry.dims[s.dim].table.key}")
             fk = key(s.dim) if not s.via else F.col(f"d_{s.via}_{self.registry.dims[s.via].table.foreign_keys[s.dim]}")
-            df = df.join(own, fk == pk, how)
+            on = fk == pk
+            for c in self._partitions(s.via, s.dim) if s.via else ():
+                on = on & (F.col(f"d_{s.via}_{c}") == F.col(f"d_{s.dim}_{c}"))
+            df = df.join(own, on, how)
         return df
 
     # Requests -------------------------------------------------------------------------------------------------------
 
     def frame(self, r: Resolved, only_keys: list[tuple[str, DataFrame]] = ()) -> DataFrame:
         """The result.  only_keys: (column of the fact, one-column DataFrame of the values that it may have)."""
+        self.context = r.request.parameters
         if r.dimension_driven:
             out, paged = self._dimension_driven(r)
         else:
@@ -178,10 +233,11 @@ class Planner:
                 return
             for u in col.uses:
                 add(u)
+            if isinstance(col, DimCol) and col.lookup:
+                add(col.lookup.key)
+                return
             if col.expr is None:
                 out.add(name)
-            from ..functions.derived import references
-
             exprs = [col.expr, getattr(getattr(col, "rollup", None), "expr", None)]
             for e in exprs:
                 if isinstance(e, str):
@@ -223,9 +279,14 @@ class Planner:
         for column, values in only_keys:
             rows = rows.join(values.toDF("_only"), raw_column(fact, column, named) == F.col("_only"), "left_semi")
         shown = self._keys(r)
-        if r.request.query_type == "scan":
+        m, finals, having = self._metrics(r, named) if r.request.query_type != "scan" else (None, {}, [])
+        look, later = r.looking
+        nested = bool(look) and m is not None and m.mergeable
+        if look and not nested:
+            rows = self.attached(rows, look, lambda c: raw_column(fact, c.lookup.key, named))
+            rows = self._where(rows, r, fact, later, named, times=False)
+        if m is None:
             return self._scan(r, rows, shown, named), False
-        m, finals, having = self._metrics(r, named)
         first = [s.dim for s in r.steps if not s.via]
         fks = {f"fk_{d}": raw_column(fact, fact.foreign_keys[d], named) for d in first}
         key_shown = {i.column for i in r.items if i.kind == "fact_dim"} | {fact.foreign_keys.get(i.dim) for i in r.items if i.kind == "dim" and i.column == self.registry.dims[i.dim].table.key}
@@ -240,7 +301,9 @@ class Planner:
             return self._projected(out, r, finals, having), False
         groups = [c.alias(n) for n, c in {**fks, **shown}.items()]
         aggregates = m.aggregates()
-        if aggregates:
+        if nested:
+            out = self._nested(rows, r, fks, shown, m, named)
+        elif aggregates:
             out = rows.groupBy(*groups).agg(*aggregates) if groups else rows.agg(*aggregates)
         else:
             out = rows.select(*groups).distinct()
@@ -259,6 +322,41 @@ class Planner:
             return self._projected(out, r, finals, having, dims_named=True), False
         return self._projected(out, r, finals, having), False
 
+    def _nested(self, rows: DataFrame, r: Resolved, fks: dict[str, Column], shown: dict[str, Column], m: Metrics, named: bool) -> DataFrame:
+        """Grouped by the keys of the lookups first, looked up and filtered then, and grouped again by what is shown."""
+        fact, (look, later) = r.fact, r.looking
+        of = {i.name: i.column for i in r.items if i.kind == "fact_dim"}
+        late = {c.name for c in look}
+        after = {n for n in shown if {c.name for c in self.looking(fact, [of[n]])} & late}
+        # What is derived of a lookup, and tests of one, need their other columns until then.
+        rest = {x for n in after for x in self._bases(fact, of[n])} | {x for f in later for n in f.fields() for x in self._bases(fact, n)}
+        keys = {f"_key_{c.lookup.key}": raw_column(fact, c.lookup.key, named) for c in look}
+        bases = {b: F.col(b) for b in sorted(rest)}
+        groups = [c.alias(n) for n, c in {**fks, **{n: c for n, c in shown.items() if n not in after}, **keys, **bases}.items()]
+        aggregates = m.aggregates()
+        part = rows.groupBy(*groups).agg(*aggregates) if aggregates else rows.select(*groups).distinct()
+        part = self.attached(part, look, lambda c: F.col(f"_key_{c.lookup.key}"))
+        part = self._where(part, r, fact, later, named, times=False)
+        groups = [F.col(n) for n in fks] + [(shown[n].alias(n) if n in after else F.col(f"`{n}`")) for n in shown]
+        if not aggregates:
+            return part.select(*groups).distinct()
+        return part.groupBy(*groups).agg(*m.again()) if groups else part.agg(*m.again())
+
+    @staticmethod
+    def _bases(fact: FactTable, name: str) -> set[str]:
+        """Physical columns that a column's expression reads beside lookups."""
+        out, col = set(), fact.column(name)
+        if col is None:
+            return {name}
+        if col.lookup or col.const is not None:
+            return out
+        if isinstance(col.expr, str):
+            for n in references(col.expr):
+                out |= Planner._bases(fact, n) if n != name else {n}
+        elif col.expr is None:
+            out.add(col.source or col.name)
+        return out
+
     @staticmethod
     def _page_first(r: Resolved, own: set[str]) -> bool:
         """Whether the page is decided by columns of one side, so that only its rows need the join."""
@@ -310,6 +408,9 @@ class Planner:
             return (out.distinct() if r.request.parameters.get("Distinct") or r.request.query_type == "groupby" else out), False
         fact = r.fact
         rows, named = self.rows(r, fact, self._needed(r) | set(fact.foreign_keys.values()))
+        look, later = r.looking
+        if look:
+            rows = self._where(self.attached(rows, look, lambda c: raw_column(fact, c.lookup.key, named)), r, fact, later, named, times=False)
         m, finals, having = self._metrics(r, named)
         shown = self._keys(r)
         has_key = any(i.kind == "dim" and i.dim == r.driving and i.column == self.registry.dims[r.driving].table.key for i in r.items)
@@ -378,7 +479,30 @@ class Planner:
             df = df.withColumn(TOTAL, df.agg(F.count(F.lit(1))).scalar())
         if r.sort:
             df = df.orderBy(*[self._order(n, down) for n, down in r.sort])
-        return df if paged else self._paged(df, r)
+        df = df if paged else self._paged(df, r)
+        if r.request.parameters.get("RowNumber"):
+            # Rows of a page, which is bounded, are numbered in one task; all rows would be.
+            if r.request.rows <= 0 or not r.sort:
+                raise RequestError("rows are numbered on a sorted page")
+            w = Window.orderBy(*[self._order(n, down) for n, down in r.sort])
+            df = df.withColumn(ROWNUM, (F.row_number().over(w) + r.request.start).cast("bigint"))
+        return self._posted(df, r)
+
+    def _posted(self, df: DataFrame, r: Resolved) -> DataFrame:
+        """Functions on the rows of the result: they see the page's values, after sorting and paging by those."""
+        at = {i.column: i.name for i in r.items if i.column}
+        changes = {}
+        for i in r.items:
+            col = self._column(r, i)
+            if col is not None and isinstance(col.post, str):
+                own = lambda n, i=i: F.col(f"`{i.name}`") if n == "value" else F.col(f"`{at[n]}`") if n in at else F.lit(None)
+                changes[i.name] = parse(col.post, own)
+        return df.withColumns(changes) if changes else df
+
+    def _column(self, r: Resolved, i: Item):
+        if i.kind == "dim":
+            return bound(self.registry.dims[i.dim].table, self.context).column(i.column)
+        return r.fact.column(i.column) if i.kind in ("fact_dim", "metric") else None
 
     def _type(self, r: Resolved, i: Item):
         if i.kind == "dim":

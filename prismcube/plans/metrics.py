@@ -14,6 +14,11 @@ from ..operators.filters import Filter, all_of, column_predicate, combined, pred
 from ..operators.rollups import NOOP, Cardinality, Custom, Filtered, HyperUnique, RoundingSum, Theta, ThetaSetOp, clean, theta, theta_set
 
 
+def looked_up(name: str) -> str:
+    """The column in which the rows hold what was looked up."""
+    return f"_lk_{name}"
+
+
 def raw_column(table, name: str, named: bool = False, _seen: tuple[str, ...] = ()) -> Column:
     """A column of the table's rows.  named: the rows have the model's names, as those of a union view do."""
     col = table.column(name)
@@ -23,6 +28,8 @@ def raw_column(table, name: str, named: bool = False, _seen: tuple[str, ...] = (
         raise ModelError(f"{table.name}.{name} is defined by itself")
     if col.const is not None:
         return F.lit(col.const)
+    if isinstance(col, DimCol) and col.lookup:
+        return F.col(looked_up(name))
     if col.expr is not None and isinstance(col, DimCol):
         inner = lambda n: raw_column(table, n, named, (*_seen, name))
         return parse(col.expr, inner) if isinstance(col.expr, str) else col.expr(inner)

@@ -24,6 +24,7 @@ class Field:
     field: str
     alias: str
     value: Any = None  # a constant column
+    lookup: Mapping[str, Any] | None = None  # arguments of a `model.Lookup` whose key is the field
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,16 @@ def day_range(f: Filter) -> tuple[date, date]:
     return min(days), max(days)
 
 
+def _lookup(x: Mapping[str, Any]) -> dict[str, Any]:
+    """{"namespace", "column"[, "missing"][, "retain"][, "values"][, "keys"]}."""
+    if unknown := set(x) - {"namespace", "column", "missing", "retain", "values", "keys"}:
+        raise RequestError(f"a lookup has no {', '.join(sorted(unknown))}")
+    if not x.get("namespace") or not x.get("column"):
+        raise RequestError("a lookup needs a namespace and a column")
+    pairs = {k: tuple(dict(x[k]).items()) for k in ("values", "keys") if x.get(k)}
+    return {"namespace": x["namespace"], "value": x["column"], "missing": x.get("missing"), "retain": bool(x.get("retain")), **pairs}
+
+
 def from_json(body: str | Mapping[str, Any], *, default_day: bool = False) -> Request:
     """default_day: without a Day filter, the day 2000-01-01 is meant, for cubes that don't have days."""
     obj = json.loads(body) if isinstance(body, str) else dict(body)
@@ -96,7 +107,7 @@ def from_json(body: str | Mapping[str, Any], *, default_day: bool = False) -> Re
     for x in raw:
         if not x.get("field"):
             raise RequestError(f"field missing in {x}")
-        fields.append(Field(x["field"], x.get("alias") or x["field"], x.get("value")))
+        fields.append(Field(x["field"], x.get("alias") or x["field"], x.get("value"), _lookup(x["lookup"]) if x.get("lookup") else None))
     names = [f.alias for f in fields]
     if len(set(names)) < len(names):
         raise RequestError("two fields have one alias")

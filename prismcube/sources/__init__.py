@@ -59,9 +59,13 @@ def places(spark: SparkSession, at: Mapping[str, Location | DataFrame]) -> Calla
 
 
 def scratch(spark: SparkSession) -> str:
-    """A path that isn't there yet, in the folder that all executors share; a temporary one only where none is set."""
+    """A path that isn't there yet, in the folder that all executors share; one of this machine only in local mode, where none is set."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise SourceError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="scratch-")
     return f"{base}/{uuid.uuid4().hex}"
