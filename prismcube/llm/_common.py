@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; one longer document is a slab of its own.
@@ -123,8 +125,15 @@ class Rolling:
         return mix((prefix[k:] - prefix[: n - k + 1]) * self.down[: n - k + 1] + np.uint64(k))
 
 
+#: Words longer than this are hashed by a digest: polynomials modulo 2**64 have known collisions from some 1000 symbols on.
+LONG_WORD = 256
+
+
 def word_hashes(rolling: Rolling, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return rolling.spans(rolling.prefix(rolling.bytes[data]), starts, ends)
+    out = rolling.spans(rolling.prefix(rolling.bytes[data]), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=rolling.base.to_bytes(8)).digest())
+    return out
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -137,9 +146,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share.  Where that is unset, one of this machine's in local mode (tests), and an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -149,104 +160,159 @@ def stored(df: DataFrame) -> DataFrame:
     """Written as a table in the shared folder and read again, which cuts the lineage and computes it once."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of `stored` that no later plan reads."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_stored_at", None)):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges between longs: (id, component), component being the smallest id.
 
-    Alternates the large-star and small-star steps until the edges stay the same.  Each step is an aggregate with
-    partial sums and an equi-join, which adaptive execution can split where a hub is hot; no group is collected, and
-    nothing but a count and a checksum comes to the driver.
+    Alternates the large-star and small-star steps until the edges stay the same, which they do after a number of rounds
+    of the order of the squared logarithm of the nodes.  Each step is an aggregate with partial sums and an equi-join,
+    which adaptive execution can split where a hub is hot; no group is collected, and nothing but a count and a checksum
+    comes to the driver.
     """
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.where("u <> v").distinct())
+        last, e = e, stored(small.where("u <> v").distinct())
+        discard(last)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    own = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    out = stored(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(own))
+    discard(e)
+    return out
+
+
+def _joined(group: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components `group` after the links (a, b) of `found` join some."""
+    if group is None:
+        return components(found)
+    own = [group.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"]
+    between = found.join(own[0], "a", "left").join(own[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    upper = components(between)
+    lifted = group.join(upper.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    out = stored(lifted.unionByName(upper.join(group, "id", "left_anti")))
+    discard(group, upper)
+    return out
+
 
+def _apart(met: DataFrame, group: DataFrame) -> DataFrame:
+    """(key, u, p, n, c, free) of the buckets whose nodes lie in more than one component yet."""
+    of = met.join(group.withColumnRenamed("id", "u"), "u", "left").select("key", "u", "p", "n", F.coalesce("component", "u").alias("c"), "free")
+    mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    return of.join(mixed, "key")
 
-#: No pair (1, 2) of similarity `t` or more fails this; both have met the lead L of one bucket.  n, w: shingles and
-#: their weight; a, aw: of those, what is also in L; own, own_w: what no other node in question has; most: the largest
-#: weight of one.  Of what both have, a part in L is at most the smaller a, and a part outside at most the smaller rest;
-#: in weight it misses at least what one has of L more than the other.  With the shares S1 and S2 of what both have,
-#: S1 * S2 / (S1 + S2 - S1 * S2) bounds the Jaccard similarity, and the probability Jaccard similarity as well: its terms
-#: are at most 1 / (1 / p + (1 - S2) / q), concave in (p, q) and homogeneous, so that they sum to that at most.
-_SHARE = "least({k}w, {k}aw - greatest({k}a - {o}a, 0) + least({k}w - {k}aw - {k}own_w, ({o}n - {o}a - {o}own) * {k}most)) / cast({k}w as double)"
-_PLAIN = "(least(x_a, y_a) + least(x_n - x_a - x_own, y_n - y_a - y_own))"
 
+#: Buckets of so few nodes have their pairs made at once, at most half as many a row.
+SMALL = 16
 
-def linked(met: DataFrame, verify, bounds, threshold: float, rounds: int = 2) -> DataFrame:
+
+def linked(met: DataFrame, verify, tokens, threshold: float) -> DataFrame:
     """Components of the nodes that are linked, (id, component), from the buckets (key, u) in which they met.
 
-    verify: distinct pairs (a, b) -> (a, b, both, wa, wb, ok): how many shingles both have, their weight in either, and
-    whether that is a link.  In each round a bucket has one lead that is paired with the others, so pairs grow with the
-    buckets' rows.  The lead is the node with the most neighbours over all buckets: of a text and its altered copies,
-    that is the text, which links more of them than they do each other.  From the second round on it is the like of those
-    outside the component of the first lead, and is paired with what isn't in its own component.  At last come the
-    pairs of a bucket that still lie in different components, but for those that can't be linked: what either shares
-    with the bucket's first lead bounds what they share (see _SHARE).  No link within a bucket is lost.
-    bounds: (u, n, own, w, own_w, most) of the nodes it is given.
+    verify: distinct pairs (a, b) -> (a, b, ok), the links among them.  tokens: nodes (u) -> (u, h, w), each node's
+    distinct shingles, as hashes, and their weights.
+
+    1. Each bucket has a lead, paired with its other nodes, so that pairs grow with the rows of the buckets.  The lead has
+       the most neighbours over all buckets: of a text and its altered copies that is the text, which links more of them
+       than they do each other.  Buckets of at most SMALL nodes then get their other pairs between components.
+    2. Nodes of larger buckets that hold several components still are put into buckets of their own rare shingles.
+       Shingles are ordered by how many of these nodes have them; whatever a node can be linked with has one of its first
+       ones, those up to a share of 1 - threshold of its number or weight.  This prefix is exact, and no link within a
+       bucket of step 1 is lost.  A shingle of one node alone makes no bucket, so that nodes which differ in what is
+       theirs alone don't meet again, however many share the rest.
+    3. These buckets get leads as those of step 1 do, in two rounds, the second lead being the like of the nodes outside
+       the component of the first; and then all pairs between components.  A pair is made only where
+       the numbers of shingles, and of those that come before the bucket's, leave enough that both can have: that holds
+       in the bucket of the first shingle that both have, if they are linked by numbers.
     """
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weight = stored(met.join(sizes, "key").groupBy("u").agg(F.sum("n").alias("p")))
-    met = stored(met.join(weight, "u"))
-    first = stored(met.groupBy("key").agg(F.max(F.struct("p", "u")).alias("lead")).select("key", F.col("lead.u").alias("lead")))
-    tried = seen = group = None
-    for r in range(rounds + 1):
-        of = met.withColumn("c", F.col("u"))
-        if group is not None:
-            of = met.join(group.withColumnRenamed("id", "u"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
-            mixed = of.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y and k > 2").select("key")
-            of = stored(of.join(mixed, "key"))
-            if not of.limit(1).count():
-                break
-        if r == rounds:
-            known = of.join(bounds(of.select("u").distinct()), "u").join(first, "key").join(seen, ["u", "lead"], "left")
-            known = known.selectExpr("key", "u", "c", "n", "own", "w", "own_w", "most", "if(u = lead, n, coalesce(a, 0)) as a", "if(u = lead, w, coalesce(aw, 0)) as aw")
-            known = stored(known.withColumn("own", F.when(F.col("a") == F.col("n"), 0).otherwise(F.col("own"))).withColumn("own_w", F.when(F.col("a") == F.col("n"), 0).otherwise(F.col("own_w"))))
-            keys = known.groupBy("u").agg(F.collect_list("key").alias("keys"))  # one for each band at most
-            known = known.join(keys, "u")
-            x, y = (known.select(*[F.col(c).alias(c if c == "key" else f"{k}_{c}") for c in known.columns]) for k in "xy")
-            s1, s2 = _SHARE.format(k="x_", o="y_"), _SHARE.format(k="y_", o="x_")
-            fits = f"{_PLAIN} >= {threshold}D * (x_n + y_n - {_PLAIN}) or (x_most > 1 or y_most > 1) and {s1} * {s2} >= {threshold - 1e-9}D * ({s1} + {s2} - {s1} * {s2})"
-            once = "key = array_min(array_intersect(x_keys, y_keys))"  # of the buckets that both are in, the first
-            pairs = x.join(y, "key").where(f"x_c < y_c and ({fits}) and {once}").select(F.col("x_u").alias("a"), F.col("y_u").alias("b"))
-        else:
-            lead = of.groupBy("key").agg(F.max(F.struct("p", "u", "c")).alias("lead"))
-            if group is not None:
-                rest = of.join(lead, "key").where("c <> lead.c")
-                lead = rest.groupBy("key").agg(F.max(F.struct("p", "u", "c")).alias("lead"))
-            pairs = of.join(lead, "key").where("c <> lead.c").select(F.col("u").alias("a"), F.col("lead.u").alias("b"))
+    group, tried = None, []
+
+    def asked(pairs: DataFrame) -> None:
+        nonlocal group
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.unionByName, [t.select("a", "b") for t in tried]), ["a", "b"], "left_anti")
         done = stored(verify(pairs))
-        if seen is None:
-            sides = [done.select(F.col(u).alias("u"), F.col(o).alias("lead"), F.col("both").alias("a"), F.col(w).alias("aw")) for u, o, w in (("a", "b", "wa"), ("b", "a", "wb"))]
-            seen = sides[0].unionByName(sides[1])
-        tried = done if tried is None else tried.unionByName(done)
+        tried.append(done)
         found = done.where("ok")
-        if group is None:
-            group = components(found)
-        elif found.limit(1).count():  # of the components that were there
-            own = [group.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"]
-            between = found.join(own[0], "a", "left").join(own[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            upper = stored(components(between))
-            lifted = group.join(upper.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
-            fresh = upper.join(group, "id", "left_anti")
-            group = stored(lifted.unionByName(fresh))
+        if group is None or found.limit(1).count():
+            group = _joined(group, found)
+
+    # Of x and y: whether both can have t / (1 + t) of the sum of their numbers of shingles.
+    fits = "(x.free.n is null or y.free.n is null or least(x.free.n - x.free.at, y.free.n - y.free.at) >= %sD * (x.free.n + y.free.n))" % (threshold / (1 + threshold) * (1 - 1e-9))
+    node = F.struct("p", "u", "c", "free")
+
+    def led(of: DataFrame, rounds: int) -> DataFrame | None:
+        """Rounds of leads over the buckets (key, u, p, n, free); what lies apart after them, stored, or None."""
+        met, before = of, None
+        for r in range(rounds + 1):
+            if group is not None:
+                of = stored(_apart(met.where(f"n > {r + 1}"), group))
+                discard(before)
+                before = of
+                if not of.limit(1).count():
+                    return None
+                if r == rounds:
+                    return of
+            else:
+                of = of.withColumn("c", F.col("u"))
+            lead = of.groupBy("key").agg(F.max(node).alias("y"))
+            if r:
+                lead = of.join(lead, "key").where("c <> y.c").groupBy("key").agg(F.max(node).alias("y"))
+            pairs = of.select("key", node.alias("x")).join(lead, "key").where(f"x.c <> y.c and {fits}")
+            asked(pairs.select(F.col("x.u").alias("a"), F.col("y.u").alias("b")))
+
+    def paired(of: DataFrame) -> None:
+        x, y = (of.select("key", node.alias(k)) for k in "xy")
+        asked(x.join(y, "key").where(f"x.c < y.c and {fits}").select(F.col("x.u").alias("a"), F.col("y.u").alias("b")))
+
+    met = met.join(met.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    met = stored(met.join(met.groupBy("u").agg(F.sum("n").alias("p")), "u").select("key", "u", "p", "n", F.expr("cast(null as struct<n: bigint, at: bigint>)").alias("free")))
+    left = led(met, 1)
+    discard(met)
+    if left is None:
+        return group
+    paired(left.where(f"n <= {SMALL}"))
+    large = stored(_apart(left.where(f"n > {SMALL}"), group))
+    discard(left)
+    left = large
+    if not left.limit(1).count():
+        return group
+    each = stored(tokens(left.select("u").distinct()))
+    size = each.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("all"), F.max("w").alias("most"))
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = each.join(common, "h", "left")
+    share = (1 - threshold) * (1 + 1e-9)
+    # What is a node's alone comes first and makes no bucket; the rest is ordered by how rare it is.
+    alone = own.groupBy("u").agg(F.sum(F.when(F.col("df").isNull(), 1).otherwise(0)).alias("k"), F.sum(F.when(F.col("df").isNull(), F.col("w")).otherwise(0)).alias("kw"))
+    size = stored(size.join(alone, "u").where(f"k <= {share}D * n or kw <= {share}D * all"))
+    order = Window.partitionBy("u").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = own.where("df > 1").join(size, "u").withColumns({"at": F.col("k") + F.coalesce(F.count(F.lit(1)).over(order), F.lit(0)), "at_w": F.col("kw") + F.coalesce(F.sum("w").over(order), F.lit(0))})
+    near = ranked.where(f"at <= {share}D * n or at_w <= {share}D * all").select(F.col("h").alias("key"), "u", F.col("n").alias("p"), F.lit(SMALL).alias("n"), F.when(F.col("most") == 1, F.struct("n", "at")).alias("free"))
+    near = stored(near)
+    discard(left, each)
+    left = led(near, 2)
+    if left is not None:
+        paired(left)
+    discard(left, near, size, *tried)
     return group
