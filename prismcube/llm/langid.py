@@ -4,9 +4,11 @@ A word is a run of letters (ASCII letters lower-cased, every byte beyond ASCII);
 one to four between the marks < and >, and the word itself, hashed into BUCKETS rows of an embedding.  A text is the
 average over the features of its words.  Embedding and softmax are trained together by stochastic gradient descent in
 numpy on a bounded sample of labelled documents: SAMPLE a language, the least hashes of (doc_id, text), of at most
-SAMPLE_CHARS characters.  A temperature fitted on a fifth of the sample calibrates the scores, and the rejection
-threshold is the score below which the held-back texts are mostly wrong.  Prediction reads whole texts: as the model
-is linear, each distinct word of a slab is scored once from the product of embedding and softmax.
+SAMPLE_CHARS characters.  The texts of a language are counted first, and only those whose hash lies in the share that
+holds SAMPLE of them leave their tasks, so that no language's texts meet in one.  A temperature fitted on a fifth of the
+sample calibrates the scores, and the rejection threshold is the score below which the held-back texts are mostly
+wrong; a sample of which nothing can be held back gives temperature 1 and no threshold.  Prediction reads whole texts:
+as the model is linear, each distinct word of a slab is scored once from the product of embedding and softmax.
 
 Cases: null texts and texts without a letter are `und` with score 0; null ids pass through and aren't learned from;
 null languages aren't learned from; without any labelled text everything is `und`; repeated rows are predicted each;
@@ -17,10 +19,12 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LETTER_WORD, LOWER, Rolling, flat, mix, ranges, slabs, word_hashes, word_spans
@@ -102,7 +106,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
     usable = np.flatnonzero(hi > lo)
     held, fit = usable[usable % 5 == 0], usable[usable % 5 != 0]
     if not len(fit):
-        held = fit = usable
+        held, fit = usable[:0], usable
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
 
@@ -134,8 +138,13 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
                 size = np.sqrt((w * w).sum(1, keepdims=True))
                 np.divide(w, size / RADIUS, out=w, where=size > RADIUS)
     model = LanguageModel(langs, emb @ out, bias.astype(np.float64), 1.0, 0.0)
-    f, n = bag(np.repeat(held, 6), 400)
-    logits = np.add.reduceat(model.table[f], np.cumsum(n) - n, 0) / n[:, None] + bias
+    if not len(held):
+        return model
+    parts = []
+    for k in range(0, 6 * len(held), batch):
+        f, n = bag(np.repeat(held, 6)[k : k + batch], 400)
+        parts.append(np.add.reduceat(model.table[f], np.cumsum(n) - n, 0) / n[:, None] + bias)
+    logits = np.concatenate(parts)
     y = target[np.repeat(held, 6)]
     grid = np.geomspace(0.2, 5, 33)
     losses = [-np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
@@ -161,10 +170,18 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
     d = df.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l"))
     d = d.where(~held_out("i") & F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
     d = d.withColumn("h", F.xxhash64("i", "t"))
-    # The limit goes below the exchange (a group limit), so that each task sends `sample` rows a language at most.
-    rows = d.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= sample).select("t", "l", "h").collect()
-    rows.sort(key=lambda r: (r.l, r.h, r.t))
-    return train([r.t for r in rows], [r.l for r in rows])
+    sizes = {r.l: r.n for r in d.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not sizes:
+        return train([], [])
+    # So many texts are expected under the share that fewer than `sample` come by six deviations only.
+    asked = sample + 6 * sample**0.5 + 36
+    top = [(k, min(int(min(1.0, 1.2 * asked / n) * 2**64) - 2**63, 2**63 - 1)) for k, n in sizes.items()]
+    cut = df.sparkSession.createDataFrame(top, "l string, top long")
+    # A text's copies of one id are one row.
+    few = d.join(F.broadcast(cut), "l").where("h <= top").groupBy("l", "h").agg(F.min("t").alias("t")).toArrow()
+    rows = sorted(zip(*(few.column(c).to_pylist() for c in ("l", "h", "t")), strict=True))
+    chosen = [r for _, group in groupby(rows, itemgetter(0)) for r in islice(group, sample)]
+    return train([r[2] for r in chosen], [r[0] for r in chosen])
 
 
 def _predict(model: LanguageModel, column) -> tuple[np.ndarray, np.ndarray]:
