@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The public vocabulary file of operator 4.
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

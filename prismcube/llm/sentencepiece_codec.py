@@ -2,11 +2,12 @@
 
 The text is cut where no piece of the vocabulary can reach across (before a run of the space symbol, around line
 feeds), so that a text is a sequence of independent words.  The distinct words of a slab are found by hashes of their
-code points, which are then compared, and encoded together: one flat array of symbols, and in every round the pair of
-best rank, leftmost on ties, is found for each word by a segmented minimum, merged in all words at once, and the array
-is compacted, until no pair is left.  One merge a word and round is exactly the order of the library's agenda, which
-would also be hard to keep with several at once.  Words of more than LONG symbols take a heap instead, so that one
-very long word costs n log n and not n rounds.  The texts are then put together from their words' codes.
+code points, which are then compared, and encoded together: one flat array of symbols, and in every round the least
+rank of a pair is found for each word by a segmented minimum, all pairs of that rank are merged in all words at once,
+leftmost first where they overlap, and the array is compacted, until no pair is left.  That is the order of the
+library's agenda as long as no pair with the merged symbol has as good a rank; where one has (the vocabulary tells), a
+round merges the leftmost pair of the word alone.  A word of any length is encoded so, in at most as many rounds as it
+meets ranks.  The texts are then put together from their words' codes.
 
 Cases: a null text is encoded as the empty text (no ids, or the end id alone); a null id is passed through; repeated
 rows are encoded each; other columns are not read; an empty table gives an empty table.
@@ -15,7 +16,6 @@ rows are encoded each; other columns are not read; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 from operator import itemgetter
 
@@ -29,7 +29,6 @@ from ._common import Rolling, mix, ranges
 SPACE = "▁"
 #: Characters of text handled at once; one longer text is a slab of its own.
 SLAB_CHARS = 1 << 20
-LONG = 400
 NONE = np.iinfo(np.int32).max
 
 
@@ -121,7 +120,14 @@ class Codec:
         self.keys = np.append(keys, np.iinfo(np.int64).max)
         self.ranks = np.array([pairs[k][0] for k in keys.tolist()] + [NONE], np.int32)
         self.merged = np.array([pairs[k][1] for k in keys.tolist()] + [-1], np.int32)
-        self.pairs = pairs
+        best = np.full(self.width, NONE, np.int64)  # rank of the best pair that each symbol is in
+        for k, (r, _) in pairs.items():
+            for x in divmod(k, self.width):
+                best[x] = min(best[x], r)
+        #: Pieces after whose making a pair of as good a rank can come up.
+        self.upset = np.zeros(self.width, bool)
+        for i in self.normal.values():
+            self.upset[i] = best[i] <= order[scores[i]]
         decimal = [f"{i} ".encode() for i in range(len(pieces))]
         self.decimal, self.bytes = _Table(decimal), _Table(self.out)
 
@@ -133,31 +139,6 @@ class Codec:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
 
-    def _heap(self, syms: list[int]) -> list[int]:
-        n = len(syms)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        agenda: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < n and syms[i] >= 0 and syms[j] >= 0 and (x := self.pairs.get(syms[i] * self.width + syms[j])):
-                heapq.heappush(agenda, (x[0], i, syms[i], syms[j], x[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while agenda:
-            _, i, a, b, new = heapq.heappop(agenda)
-            j = after[i]
-            if not live[i] or j >= n or syms[i] != a or syms[j] != b:
-                continue
-            syms[i], live[j], after[i] = new, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [s for s, x in zip(syms, live, strict=True) if x]
-
     def merge(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of words, and how many each has; sym: the words' symbols one after another, size: their numbers."""
         words, sizes, syms = [], [], []
@@ -167,13 +148,7 @@ class Codec:
             sizes.append(count)
             syms.append(flat)
 
-        begin = np.cumsum(size) - size
-        for i in np.flatnonzero(size > LONG).tolist():
-            out = np.array(self._heap(sym[begin[i] : begin[i] + size[i]].tolist()), np.int32)
-            done(np.array([i]), np.array([len(out)]), out)
-        at = np.flatnonzero((size > 0) & (size <= LONG))
-        if len(at) < len(size):
-            sym = sym[ranges(begin[at], size[at])]
+        at = np.flatnonzero(size > 0)
         size, total = size[at], len(size)
         rank, new = self._lookup(sym, np.append(sym[1:], -1))
         rank[np.cumsum(size) - 1] = NONE
@@ -192,17 +167,24 @@ class Codec:
             word = np.repeat(np.arange(len(size)), size)
             hits = np.flatnonzero(rank == least[word])
             word = word[hits]
-            pos = hits[np.append(True, word[1:] != word[:-1])]  # the leftmost of each word
+            lead = np.append(True, word[1:] != word[:-1])  # the leftmost of each word
+            # Of hits that overlap, every second one of their run goes, from the left.
+            fresh = lead | np.append(True, hits[1:] != hits[:-1] + 1)
+            nth = np.arange(len(hits)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            upset = np.zeros(len(size), bool)
+            upset[word[self.upset[new[hits]]]] = True
+            chosen = lead | (nth % 2 == 0) & ~upset[word]
+            pos, word = hits[chosen], word[chosen]
             sym[pos] = new[pos]
-            last = pos + 1 == starts + size - 1
+            last = pos + 1 == (starts + size - 1)[word]
             keep = np.ones(len(sym), bool)
             keep[pos + 1] = False
-            size = size - 1
+            size = size - np.bincount(word, minlength=len(size))
             now = pos - np.arange(len(pos))  # where the merged symbols are after compaction
             sym, rank, new = sym[keep], rank[keep], new[keep]
             starts = np.cumsum(size) - size
             rank[now[last]] = NONE
-            left, right = now[now > starts] - 1, now[~last]
+            left, right = now[now > starts[word]] - 1, now[~last]
             both = np.concatenate([left, right])
             rank[both], new[both] = self._lookup(sym[both], sym[both + 1])
         if not words:
