@@ -13,7 +13,8 @@ a word never seen has.  A document's score is the sum of the log-probabilities o
 What is counted and what is trained cover the whole corpus.  Counts: each task sends (word, count) rows, whose sums are
 a table of all words, growing with the corpus.  Training: in each round every task takes the current parameters through
 all of its texts by stochastic gradient descent in numpy, and sends its parameters in BLOCKS blocks with its number of
-tokens; the weighted mean of them, summed by the executors, is the next round's start.  Only the averaged parameters,
+tokens; the weighted mean of them is the next round's start: the executors sum 256 blocks into one, in three
+levels (the blocks stay arrays, and no task holds more than 256 of one kind).  Only the averaged parameters,
 the counts by bucket and the HOT most frequent words, whose size is fixed, come to the driver.  Before the rounds, the
 biases are set from the corpus's counts.  Scoring: a task adds the classes and the words among the HOT itself; every
 other token is joined with the table of words by shuffling, so no key is hot there.
@@ -43,6 +44,8 @@ OFFSETS = (-2, -1, 1, 2)
 PAD = VOCABULARY
 BATCH = 8192
 BLOCKS = 64
+#: Blocks of 2**FAN_BITS tasks are summed in one step, as often as takes 2**24 tasks.
+FAN_BITS, LEVELS = 8, 3
 #: The most frequent words, whose counts every task has; the others are joined by shuffling.
 HOT = 1 << 16
 #: Counts of words that a task holds before it sums and sends them.
@@ -252,10 +255,20 @@ class WindowNetwork:
 
 
 def _mean(parts: DataFrame) -> np.ndarray:
-    """The mean parameters, weighted by tokens.  parts: (block, tokens, values)."""
-    summed = parts.selectExpr("block", "tokens", "posexplode(values) as (k, v)").groupBy("block", "k").agg((F.sum(F.col("v") * F.col("tokens")) / F.sum("tokens")).alias("v"))
-    rows = summed.orderBy("block", "k").select("v").toArrow()
-    return rows.column(0).to_numpy().astype(np.float32)
+    """The mean parameters, weighted by tokens.  parts: (block, part, tokens, values), part numbering the tasks."""
+
+    def merged(key, tbl):
+        n = tbl.column("tokens").to_numpy()
+        total = n @ tbl.column("values").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        return pa.table({"block": [key[0].as_py()], "part": [key[1].as_py()], "tokens": [int(n.sum())], "values": pa.array([total / n.sum()], pa.list_(pa.float64()))})
+
+    for _ in range(LEVELS):
+        parts = parts.withColumn("part", F.shiftright("part", FAN_BITS)).groupBy("block", "part").applyInArrow(merged, _PARTS)
+    rows = sorted(zip(*(x.to_pylist() for x in parts.select("block", "values").toArrow().columns), strict=True))
+    return np.array([v for _, block in rows for v in block], np.float32)
+
+
+_PARTS = "block bigint, part bigint, tokens bigint, values array<double>"
 
 
 def train(docs: DataFrame, *, text_col: str = "text", rounds: int = 1, rate: float = 0.5, seed: int = 0) -> WindowNetwork:
@@ -281,9 +294,10 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = 1, rate: flo
             if tokens:
                 size = -(-len(vector) // BLOCKS)
                 values = [local.vector[i : i + size].astype(np.float64) for i in range(0, len(vector), size)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array([tokens] * len(values), pa.int64()), pa.array(values, pa.list_(pa.float64()))], names=["block", "tokens", "values"])
+                part = [TaskContext.get().partitionId()] * len(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(part, pa.int64()), pa.array([tokens] * len(values), pa.int64()), pa.array(values, pa.list_(pa.float64()))], names=["block", "part", "tokens", "values"])
 
-        new = _mean(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "block bigint, tokens bigint, values array<double>"))
+        new = _mean(docs.select(F.col(text_col).cast("string")).mapInArrow(run, _PARTS))
         if len(new):
             net = WindowNetwork(new, net.classes)
     return WindowNetwork(net.vector, net.classes, shares)
