@@ -42,12 +42,15 @@ def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         "length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols",
         "filter(split(t, '\\n'), x -> translate(x, ' \\t\\u000b\\u000c\\r', '') <> '') as lines",
     )
-    # b: bits that hold a place; g: sorted (hash, place) of the 5-word windows.
+    # b: bits that hold a place; g: sorted (hash, place) of the 5-word windows.  The hash is cut to what is left, so that
+    # twins are confirmed by their words; a stranger of the same cut hash may stand between them.
     d = d.selectExpr("_id", "_lang", "_source", "size(w) as n", "word_chars", "n_symbols", "size(lines) as n_lines", "size(lines) - size(array_distinct(lines)) as n_dup_lines", "length(bin(size(w))) as b", "w")
     grams = "transform(sequence(0, n - 5), i -> shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2), get(w, i + 3), get(w, i + 4)), b) | cast(i as bigint))"
-    d = d.selectExpr("*", f"if(n >= 6, sort_array({grams}), cast(array() as array<bigint>)) as g").drop("w")
-    twin = "(i > 0 and shiftrightunsigned(get(g, i - 1), b) = shiftrightunsigned(x, b)) or (i < size(g) - 1 and shiftrightunsigned(get(g, i + 1), b) = shiftrightunsigned(x, b))"
-    d = d.selectExpr("*", f"sort_array(transform(filter(g, (x, i) -> {twin}), x -> x & (shiftleft(1L, b) - 1))) as p").drop("g")
+    d = d.selectExpr("*", f"if(n >= 6, sort_array({grams}), cast(array() as array<bigint>)) as g")
+    place = "cast({} & (shiftleft(1L, b) - 1) as int)"
+    words_of = " and ".join(f"get(w, {place.format('get(g, i + {0})')} + {k}) = get(w, {place.format('x')} + {k})" for k in range(5))
+    twin = " or ".join(f"(i + {o} between 0 and size(g) - 1 and shiftrightunsigned(get(g, i + {o}), b) = shiftrightunsigned(x, b) and {words_of.format(o)})" for o in (-1, 1, -2, 2))
+    d = d.selectExpr("*", f"sort_array(transform(filter(g, (x, i) -> {twin}), x -> x & (shiftleft(1L, b) - 1))) as p").drop("g", "w")
     covered = "aggregate(transform(p, (x, i) -> if(i = size(p) - 1, 5L, least(5L, get(p, i + 1) - x))), 0L, (a, x) -> a + x)"
     d = d.selectExpr("_id", "_lang", "_source", "cast(n as bigint) as n_words", "cast(word_chars as bigint) as word_chars", "cast(n_symbols as bigint) as n_symbols", "cast(n_dup_lines as bigint) as n_dup_lines", f"{covered} as n_repeat_words", "cast(n_lines as bigint) as n_lines")
     return d.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
