@@ -10,7 +10,7 @@ AWKWARD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: Columns whose names operators might use themselves.
-CLASHING = ("id", "doc", "node", "chunk", "key", "u", "l", "d", "t", "n", "a", "b", "c", "_k", "_id", "kept", "words", "score", "class_id", "x", "m0")
+CLASHING = ("id", "doc", "node", "chunk", "key", "u", "l", "d", "t", "n", "a", "b", "c", "_k", "_id", "kept", "words", "score", "class_id", "x", "m0", "lead", "row", "gone", "k1", "k2", "th", "pos", "part", "block", "values")
 
 
 @pytest.fixture(scope="session")
