@@ -15,18 +15,20 @@ The frame finds what has to meet in one shard.  Of every n - k + 1 consecutive s
 least hash is an anchor (winnowing), so that each repeated window holds, at the same offset, an anchor that occurs
 at each of its places.  Documents are dealt into chunks of about CHUNK bytes by their id.
 
-1. Anchors: each chunk sends, for each distinct anchor and context (all windows around it), the hashes and the first
-   place, packed into one binary for each bucket of hashes.
-2. Buckets tell, for each of them: alone; the same context occurs earlier (so all its windows do); other contexts
-   have the anchor; or so many have it that it is hot.
-3. Chunks mark the first kind, and send the contexts of the others to a shard of that anchor; for hot anchors, whose
-   contexts could be a third of the corpus, they send the windows' 128-bit hashes to buckets of those instead, after
+1. Anchors: each chunk sends a row for each distinct anchor and context (all windows around it): their hashes and the
+   first place.
+2. Rows sorted by anchor tell, for each of them: alone; the same context occurs earlier (so all its windows do); other
+   contexts have the anchor; or so many have it that it is hot.  Only those that aren't alone are told so.
+3. Chunks mark the second kind, and send the contexts of the third to a shard of that anchor, where the index decides;
+   for hot anchors, whose contexts could be a third of the corpus, they send the windows' 128-bit hashes instead, after
    the least place of each within the chunk.
-4. Shards and buckets return the covered windows to the chunks, which cut the texts.
+4. Shards, and the windows' rows in sorted order, return the covered stretches to the chunks, which cut the texts.
 
-What one key can bring to a task is one entry a chunk (CONTEXTS for anchors below the bound); a chunk holds its
-documents, and at least one, so memory grows with the longest document only.  Hashes are of 64 bits for anchors (more
-candidates at worst) and for words, of 128 bits where they decide.
+What moves are rows, one for each anchor of a chunk at most, so that all of it grows with the input, whatever the number
+of chunks; sorted rows are read in batches, of which no more than GROUP are held.  What one key can bring to a task is
+CONTEXTS rows a chunk; a chunk holds its documents, and at least one, so memory grows with the longest document only.
+Hashes decide where a context occurs as a whole and for hot anchors: there they are of 128 bits (of words known by 64).
+Within a shard, words of one hash are compared.
 
 Cases: null texts are empty; a null id counts as the largest; rows of one id are one place, so that repeated rows
 don't remove each other, but both lose what an earlier document has; other columns aren't read; an empty table gives
@@ -56,22 +58,12 @@ GROUP = 4096
 PART = 1 << 16  # symbols handled at once, so that arrays stay in a CPU cache
 U32 = np.uint64(32)
 HOT, ALONE, COPY, SHARED = np.uint8(3), np.uint8(0), np.uint8(1), np.uint8(2)
-_BLOB = "bucket long, kind int, chunk long, body binary"
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays)] + [a.nbytes for a in arrays], np.int64)
-    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def _unpack(body: bytes, *kinds) -> list[np.ndarray]:
-    n = int(np.frombuffer(body, np.int64, 1)[0])
-    sizes = np.frombuffer(body, np.int64, n, 8)
-    at, out = 8 * (n + 1), []
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(body, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
+#: What moves: entries of step 1 (key: chunk and number of the entry), what is told of them, and rows of step 3.
+_ENTRY = "h long, c long, d long, p long, hot boolean, key long"
+_TOLD = "chunk long, i long, status int"
+_SENT = "kind int, a long, b long, d long, chunk long, row long, lo long, hi long, body binary"
+_STRETCH = "chunk long, row long, lo long, hi long"
+CONTEXT, WINDOW, COVERED = 1, 2, 3
 
 
 class Symbols:
@@ -187,11 +179,25 @@ def _by_place(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray):
     return order, new, later
 
 
+SENT = [x.split()[0] for x in _SENT.split(", ")]
+
+
+def _word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each distinct word: by its hash, but words of one hash are compared."""
+    _, one, which = np.unique(word_hashes(_tools()[0], data, starts, ends), return_index=True, return_inverse=True)
+    size, head = ends - starts, one[which]
+    same = (size == size[head]).all() and (data[ranges(starts, size)] == data[ranges(starts[head], size)]).all()
+    if same:
+        return which
+    raw, numbers = data.tobytes(), {}
+    return np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+
 class Sent:
     """What a chunk sends in step 1, in an order that step 3 finds again: one entry for each anchor and context, or one
     for a hot anchor."""
 
-    def __init__(self, sym: Symbols, n: int, k: int, buckets: int):
+    def __init__(self, sym: Symbols, n: int, k: int):
         self.anchors = a = _anchors(sym, n, k)
         self.order, new, self.later = _by_place(a.h, a.c, sym.doc[a.row], a.pos)
         self.group = np.cumsum(new) - 1
@@ -202,41 +208,103 @@ class Sent:
         head[1:] = h[1:] != h[:-1]
         self.run = np.cumsum(head) - 1
         self.hot = np.bincount(self.run)[self.run] > CONTEXTS if len(h) else head
-        self.bucket = (h >> np.uint64(33)).astype(np.int64) % buckets
-        sent = np.flatnonzero(~self.hot | head)
-        self.sent = sent[np.argsort(self.bucket[sent], kind="stable")]
-
-
-def _rows(parts: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    b, k, c, body = zip(*parts, strict=True) if parts else ((), (), (), ())
-    return pa.table({"bucket": pa.array(b, pa.int64()), "kind": pa.array(k, pa.int32()), "chunk": pa.array(c, pa.int64()), "body": pa.array(body, pa.binary())})
-
-
-def _split(keys: np.ndarray):
-    """(key, slice) of the runs of a sorted array."""
-    if len(keys):
-        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(keys)).tolist(), strict=True):
-            yield int(keys[a]), slice(a, b)
-
-
-def _gather(tbl: pa.Table, *kinds) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
-    """Chunks of the rows, the row of each entry, and the entries' columns."""
-    chunks = tbl.column("chunk").to_pylist()
-    bodies = [_unpack(b.as_buffer(), *kinds) for b in tbl.column("body")]
-    source = np.repeat(np.arange(len(bodies)), [len(b[0]) for b in bodies])
-    return chunks, source, [np.concatenate(x) for x in zip(*bodies, strict=True)]
-
-
-def _returned(chunks: list[int], source: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list:
-    """Covered stretches, dealt back to the chunks."""
-    chunk = np.array(chunks, np.int64)[source]
-    by = np.argsort(chunk, kind="stable")
-    return [(0, COVERED, c, _pack(row[by][s], lo[by][s], hi[by][s])) for c, s in _split(chunk[by])]
-
-
-#: Kinds of messages: entries of step 1, contexts and windows of step 3, covered stretches.
-ENTRY, CONTEXT, WINDOW, COVERED = 0, 1, 2, 3
+        self.sent = np.flatnonzero(~self.hot | head)
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for x in keys:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _told(h: np.ndarray, c: np.ndarray, d: np.ndarray, p: np.ndarray, hot: np.ndarray, burning: bool = False) -> np.ndarray:
+    """Status of entries sorted by (h, c, d, p), of whole groups of h.  burning: the group has more entries than these."""
+    head, new = _heads(h), _heads(h, c)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (d > d[first]) | (p > p[first])
+    run = np.cumsum(head) - 1
+    heated = (np.bincount(run, hot) > 0) | (np.bincount(run) > GROUP) | burning
+    several = np.bincount(run, new) > 1
+    return np.where(heated[run], HOT, np.where(later, COPY, np.where(several[run], SHARED, ALONE)))
+
+
+def _meet(batches):
+    """From entries sorted by (h, c, d, p), what is told of those that aren't alone.  A group of h can end in a later
+    batch: until then at most GROUP + 1 of its entries are held, since more are hot whatever follows."""
+    held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool, np.int64)]
+    hot = None  # a group that is known to be hot, whose entries aren't held
+
+    def out(status: np.ndarray, key: np.ndarray):
+        some = np.flatnonzero(status != ALONE)
+        key = key[some]
+        return pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(status[some].astype(np.int32))], names=["chunk", "i", "status"])
+
+    for batch in batches:
+        cols = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
+        h = cols[0]
+        if hot is not None:
+            n = int(np.searchsorted(h != hot, True)) if len(h) else 0
+            n = len(h) if len(h) and not (h != hot).any() else n
+            yield out(np.full(n, HOT), cols[5][:n])
+            cols = [x[n:] for x in cols]
+            h = cols[0]
+            if not len(h):
+                held = cols
+                continue
+            hot = None
+        if not len(h):
+            continue
+        begin = int(np.flatnonzero(_heads(h))[-1])
+        if begin:
+            yield out(_told(*(x[:begin] for x in cols[:5])), cols[5][:begin])
+        held = [x[begin:] for x in cols]
+        if len(held[0]) > GROUP:
+            hot = held[0][0]
+            yield out(np.full(len(held[0]), HOT), held[5])
+            held = [x[:0] for x in held]
+    if len(held[0]):
+        yield out(_told(*held[:5]), held[5])
+
+
+def _repeated(n: int):
+    """From windows sorted by (hashes, place), the stretches of all but the first place of each."""
+
+    def run(batches):
+        last = None  # the window in hand and its first place
+        for batch in batches:
+            w1, w2, d, chunk, row, lo = (batch.column(k).to_numpy() for k in range(6))
+            if not len(w1):
+                continue
+            new = _heads(w1, w2)
+            carried = last is not None and (w1[0], w2[0]) == last[:2]
+            at = np.flatnonzero(new)
+            d0, p0 = d[at].copy(), lo[at].copy()
+            if carried:
+                d0[0], p0[0] = last[2:]
+            of = np.cumsum(new) - 1
+            later = (d > d0[of]) | (lo > p0[of])
+            last = (w1[-1], w2[-1], d0[-1], p0[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[later]) for x in (chunk, row, lo, lo + n)], names=["chunk", "row", "lo", "hi"])
+
+    return run
+
+
+def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping and touching stretches of a row become one."""
+    if not len(row):
+        return row, lo, hi
+    by = np.lexsort((lo, row))
+    row, lo, hi = row[by], lo[by], hi[by]
+    step = int(hi.max()) + 2  # rows are laid one after another, with a gap
+    upto = np.maximum.accumulate(row * step + hi)
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] * step + lo[1:] > upto[:-1]
+    at = np.flatnonzero(new)
+    end = np.append(at[1:], len(row)) - 1
+    return row[at], lo[at], upto[end] - row[at] * step
 
 
 def _remove(docs: DataFrame, n: int, k: int, words: bool, repeats: Callable, id_col: str, text_col: str, cut: Callable, fields: str) -> DataFrame:
@@ -249,60 +317,37 @@ def _remove(docs: DataFrame, n: int, k: int, words: bool, repeats: Callable, id_
 
     def first(tbl: pa.Table) -> pa.Table:
         sym, chunk = Symbols(tbl, words), tbl.column("chunk")[0].as_py()
-        s = Sent(sym, n, k, chunks)
-        a, out = s.anchors, []
-        for b, part in _split(s.bucket[s.sent]):
-            g = s.sent[part]
-            at = s.lead[g]
-            out.append((b, ENTRY, chunk, _pack(a.h[at], a.c[at], sym.doc[a.row[at]], a.pos[at], s.hot[g])))
-        return _rows(out)
-
-    def meet(tbl: pa.Table) -> pa.Table:
-        bucket = tbl.column("bucket")[0].as_py()
-        chunks_, source, (h, c, d, p, hot) = _gather(tbl, np.uint64, np.uint64, np.int64, np.int64, np.bool_)
-        status = np.where(hot, HOT, ALONE)
-        order = np.argsort(h)
-        hs = h[order]
-        twin = np.zeros(len(h), bool)
-        twin[1:] = hs[1:] == hs[:-1]
-        twin[:-1] |= twin[1:]
-        at = order[twin]
-        if len(at):
-            inner, new, later = _by_place(h[at], c[at], d[at], p[at])
-            at = at[inner]
-            hs = h[at]
-            head = np.ones(len(at), bool)
-            head[1:] = hs[1:] != hs[:-1]
-            run = np.cumsum(head) - 1
-            heated = (np.bincount(run, hot[at]) > 0) | (np.bincount(run) > GROUP)
-            several = np.bincount(run, new) > 1
-            status[at] = np.where(heated[run], HOT, np.where(later, COPY, np.where(several[run], SHARED, ALONE)))
-        ends = np.searchsorted(source, np.arange(len(chunks_) + 1))
-        return _rows([(bucket, ENTRY, c, _pack(status[ends[i] : ends[i + 1]])) for i, c in enumerate(chunks_)])
+        s = Sent(sym, n, k)
+        a, at = s.anchors, s.lead[s.sent]
+        key = (chunk << 32) + np.arange(len(at))
+        return pa.table([a.h[at].view(np.int64), a.c[at].view(np.int64), sym.doc[a.row[at]], a.pos[at], s.hot[s.sent], key], names=["h", "c", "d", "p", "hot", "key"])
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _rows([])
+        out = []
+
+        def send(kind: int, count: int, **cols) -> None:
+            whole = lambda name, t: pa.array(cols[name], t) if name in cols else pa.nulls(count, t)
+            fixed = {"kind": pa.array(np.full(count, kind), pa.int32()), "chunk": pa.array(np.full(count, chunk), pa.int64())}
+            out.append(pa.table([fixed.get(x) if x in fixed else whole(x, pa.binary() if x == "body" else pa.int64()) for x in SENT], names=SENT))
+
+        if not left.num_rows:
+            return pa.table({x: pa.array([], pa.binary() if x == "body" else pa.int32() if x == "kind" else pa.int64()) for x in SENT})
         sym, chunk = Symbols(left, words), left.column("chunk")[0].as_py()
-        s = Sent(sym, n, k, chunks)
+        s = Sent(sym, n, k)
         a = s.anchors
         status = np.full(len(s.lead), ALONE)
-        told = dict(zip(right.column("bucket").to_pylist(), right.column("body"), strict=True))
-        for b, part in _split(s.bucket[s.sent]):
-            status[s.sent[part]] = _unpack(told[b].as_buffer(), np.uint8)[0]
+        status[s.sent[right.column("i").to_numpy()]] = right.column("status").to_numpy()
         burning = np.bincount(s.run, status == HOT) > 0
         status[burning[s.run]] = HOT
         hit = s.order[s.later | (status == COPY)[s.lead_of][s.group]]
         done = [(a.row[hit], a.lo[hit], a.hi[hit])]
-        out = []
-        shared = np.flatnonzero(status == SHARED)
-        shared = shared[np.argsort(s.bucket[shared], kind="stable")]
-        for b, part in _split(s.bucket[shared]):
-            at = s.lead[shared[part]]
+        at = s.lead[status == SHARED]
+        if len(at):
             lo, hi = sym.first[a.row[at]] + a.lo[at], sym.first[a.row[at]] + a.hi[at]
             if words:
                 lo, hi = sym.starts[lo], sym.ends[hi - 1]
-            out.append((b, CONTEXT, chunk, _pack(a.row[at], a.lo[at], sym.doc[a.row[at]], hi - lo, sym.data[ranges(lo, hi - lo)])))
+            body = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, np.cumsum(hi - lo)).astype(np.int32).tobytes()), pa.py_buffer(sym.data[ranges(lo, hi - lo)].tobytes())])
+            send(CONTEXT, len(at), a=a.h[at].view(np.int64), d=sym.doc[a.row[at]], row=a.row[at], lo=a.lo[at], body=body)
         at = s.lead[status == HOT]
         if len(at):
             count = a.hi[at] - a.lo[at] - n + 1
@@ -317,28 +362,18 @@ def _remove(docs: DataFrame, n: int, k: int, words: bool, repeats: Callable, id_
             order, _, later = _by_place(w[0], w[1], sym.doc[row], pos)
             done.append((row[order[later]], pos[order[later]], pos[order[later]] + n))
             at = order[~later]
-            b = (w[0, at] >> np.uint64(33)).astype(np.int64) % chunks
-            at, b = at[np.argsort(b, kind="stable")], np.sort(b, kind="stable")
-            out += [(x, WINDOW, chunk, _pack(w[0, at[part]], w[1, at[part]], sym.doc[row[at[part]]], row[at[part]], pos[at[part]])) for x, part in _split(b)]
-        done = [np.concatenate(x) for x in zip(*done, strict=True)]
-        if len(done[0]):
-            out.append((0, COVERED, chunk, _pack(*done)))
-        return _rows(out)
+            send(WINDOW, len(at), a=w[0, at].view(np.int64), b=w[1, at].view(np.int64), d=sym.doc[row[at]], row=row[at], lo=pos[at])
+        row, lo, hi = _merged(*(np.concatenate(x) for x in zip(*done, strict=True)))
+        send(COVERED, len(row), row=row, lo=lo, hi=hi)
+        return pa.concat_tables(out)
 
     def decide(tbl: pa.Table) -> pa.Table:
-        if tbl.column("kind")[0].as_py() == WINDOW:
-            chunks_, source, (w1, w2, d, row, pos) = _gather(tbl, np.uint64, np.uint64, np.int64, np.int64, np.int64)
-            order, _, later = _by_place(w1, w2, d, pos)
-            at = order[later]
-            return _rows(_returned(chunks_, source[at], row[at], pos[at], pos[at] + n))
-        chunks_ = tbl.column("chunk").to_pylist()
-        bodies = [_unpack(b.as_buffer(), np.int64, np.int64, np.int64, np.int64, np.uint8) for b in tbl.column("body")]
-        source = np.repeat(np.arange(len(bodies)), [len(b[0]) for b in bodies])
-        row, lo, d, size, raw = (np.concatenate(x) for x in zip(*bodies, strict=True))
-        offs = np.append(0, np.cumsum(size))
+        chunk, row, lo, d = (tbl.column(x).to_numpy() for x in ("chunk", "row", "lo", "d"))
+        raw, offs = flat(tbl.column("body").combine_chunks())
+        size = np.diff(offs)
         if words:
             starts, ends, first = word_spans(raw, offs, PLAIN_WORD)
-            values = np.unique(word_hashes(_tools()[0], raw, starts, ends), return_inverse=True)[1] + 1
+            values = _word_numbers(raw, starts, ends) + 1
             size = np.diff(first)
         else:
             values = raw.astype(np.int64) + 1
@@ -353,7 +388,7 @@ def _remove(docs: DataFrame, n: int, k: int, words: bool, repeats: Callable, id_
         head = np.ones(len(hit), bool)
         head[1:] = hit[1:] != hit[:-1] + 1
         a, b = hit[head], hit[np.append(head[1:], True)[: len(hit)]]
-        return _rows(_returned(chunks_, source[owner[a]], row[owner[a]], place[a], place[b] + n))
+        return pa.table([chunk[owner[a]], row[owner[a]], place[a], place[b] + n], names=["chunk", "row", "lo", "hi"])
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -362,16 +397,19 @@ def _remove(docs: DataFrame, n: int, k: int, words: bool, repeats: Callable, id_
         size = int(sym.first[-1])
         gone = np.zeros(size, bool)
         if right.num_rows:
-            _, _, (row, lo, hi) = _gather(right, np.int64, np.int64, np.int64)
+            row, lo, hi = (right.column(x).to_numpy() for x in ("row", "lo", "hi"))
             gone = _covered(size, sym.first[row] + lo, sym.first[row] + hi)
         ids = left.column("id").combine_chunks().take(pa.array(sym.order))
         return pa.table([ids, *cut(sym, gone)], names=names)
 
     dealt_by = dealt.groupBy("chunk")
-    told = dealt_by.applyInArrow(first, _BLOB).groupBy("bucket").applyInArrow(meet, _BLOB)
-    sent = stored(dealt_by.cogroup(told.groupBy("chunk")).applyInArrow(second, _BLOB))
-    found = sent.where(F.col("kind") != COVERED).groupBy("kind", "bucket").applyInArrow(decide, _BLOB)
-    covered = sent.where(F.col("kind") == COVERED).unionByName(found)
+    entries = dealt_by.applyInArrow(first, _ENTRY).repartition("h").sortWithinPartitions("h", "c", "d", "p")
+    told = entries.mapInArrow(_meet, _TOLD)
+    sent = stored(dealt_by.cogroup(told.groupBy("chunk")).applyInArrow(second, _SENT))
+    shards = sent.where(F.col("kind") == CONTEXT).withColumn("shard", F.pmod("a", F.lit(chunks)))
+    found = shards.groupBy("shard").applyInArrow(decide, _STRETCH)
+    windows = sent.where(F.col("kind") == WINDOW).select("a", "b", "d", "chunk", "row", "lo").repartition("a").sortWithinPartitions("a", "b", "d", "lo")
+    covered = sent.where(F.col("kind") == COVERED).select("chunk", "row", "lo", "hi").unionByName(found).unionByName(windows.mapInArrow(_repeated(n), _STRETCH))
     schema = f"`{id_col}` {kind}, {fields}"
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
     empty = pa.table({name: pa.array([], t) for name, t in zip(names, to_arrow_schema(_parse_datatype_string(schema)).types, strict=True)})

@@ -85,6 +85,62 @@ def test_passages(spark, seed, monkeypatch):
         assert {i: sorted(v) for i, v in got.items()} == removed(docs, n, symbols)
 
 
+@pytest.mark.parametrize("contexts", [0, 8])
+def test_passages_of_hot_anchors(spark, contexts, monkeypatch):
+    """With every anchor hot, windows are decided by their hashes; results are the same."""
+    from prismcube.llm import repeats
+
+    monkeypatch.setattr(repeats, "CHUNK", 3000)
+    monkeypatch.setattr(repeats, "CONTEXTS", contexts)
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    docs = passages(5, 40)
+    got = defaultdict(list)
+    for r in repeats.suffix_array_dedup(spark.createDataFrame(docs, "doc_id long, text string"), n=25, k=8).collect():
+        got[r["doc_id"]].append(tuple(bytes(r["kept"])))
+    assert {i: sorted(v) for i, v in got.items()} == removed(docs, 25, lambda t: tuple((t or "").encode()))
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_entries_meet_in_batches_of_any_size(size, monkeypatch):
+    """Of sorted entries, groups that end in later batches, and groups of more than GROUP."""
+    import pyarrow as pa
+
+    from prismcube.llm import repeats
+
+    monkeypatch.setattr(repeats, "GROUP", 12)
+    r = random.Random(size)
+    rows_ = sorted((r.choice((-5, 1, 2, 3, 3, 3)) if r.random() < 0.4 else r.randrange(100), r.randrange(3), r.randrange(4), r.randrange(3)) for _ in range(300))
+    h, c, d, p = (np.array(x, np.int64) for x in zip(*rows_, strict=True))
+    hot, key = np.array([r.random() < 0.01 for _ in h]), (np.arange(len(h)) % 5 << 32) + np.arange(len(h))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in (h, c, d, p, hot, key)], names=list("hcdp") + ["hot", "key"]) for i in range(0, len(h), size)]
+    got = {(x["chunk"] << 32) + x["i"]: x["status"] for b in repeats._meet(iter(batches)) for x in b.to_pylist()}
+    want = {}
+    for k in set(h.tolist()):
+        at = np.flatnonzero(h == k)
+        for i in at:
+            first = at[c[at] == c[i]][0]
+            later = d[i] > d[first] or p[i] > p[first]
+            status = repeats.HOT if hot[at].any() or len(at) > 12 else repeats.COPY if later else repeats.SHARED if len(set(c[at])) > 1 else repeats.ALONE
+            if status != repeats.ALONE:
+                want[int(key[i])] = int(status)
+    assert got == want
+
+
+def test_messages_grow_with_the_input(spark, monkeypatch):
+    """Rows that are sent for four times the texts in chunks a quarter as large, and so sixteen times the pairs of chunks and shards."""
+    from prismcube.llm import repeats
+
+    sent = []
+    monkeypatch.setattr(repeats, "stored", lambda df, own=repeats.stored: sent.append(out := own(df)) or out)
+    for times, chunk in ((1, 40_000), (4, 10_000)):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        r = random.Random(3)
+        docs = [(i, " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60)) + (" the same passage of some words in each, which has a few more than twenty of them so that it is found as a whole by all" * (i % 3 == 0))) for i in range(100 * times)]
+        repeats.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    one, four = (df.count() for df in sent)
+    assert 2 * one < four < 6 * one
+
+
 def test_indexes_agree():
     from prismcube.llm._indexes import bwt_repeats, fm_repeats
 
