@@ -286,3 +286,30 @@ def _of_revision(user: str):
 COUNTED = f"SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem WHERE {L}"
 register("cube_bucketing_user", _of_revision("anna"), f"{COUNTED} GROUP BY 1")
 register("cube_bucketing_share", _of_revision("bert"), f"{COUNTED} AND l_returnflag = 'R' GROUP BY 1")
+
+
+@query("log_requests", "SELECT * FROM (VALUES ('a', 'sales', 'lineitem', 'fact', 'Flag IN', CAST(3 AS BIGINT)), ('b', 'sales', NULL, 'customer', '', 2)) t(request_id, cube, \"table\", driven_by, filters, fields)")
+def _(spark, sf_dir):
+    """What the engine tells of its requests."""
+    from ..requestlog import RequestLog
+
+    log = RequestLog(spark)
+    e = trade_engine(spark, sf_dir, listeners=(log,))
+    e.frame(request("sales", {"flag": "Flag", "brand": "Brand", "lines": "Lines"}, where("Flag", "In", "R"), additionalParameters={"RequestId": "a"}))
+    e.frame(request("sales", {"customer_id": "Customer ID", "segment": "Segment"}, additionalParameters={"RequestId": "b"}))
+    return log.frame().select("request_id", "cube", "table", "driven_by", F.upper(F.array_join("filters", ",")).alias("f"), F.size("fields").cast("bigint").alias("fields")).withColumn("filters", F.regexp_replace("f", "FLAG", "Flag")).drop("f")
+
+
+@query("lkp_store", "SELECT c_nationkey AS id, max_by(c_name, c_custkey) AS name, max(c_custkey) AS newest FROM customer GROUP BY 1")
+def _(spark, sf_dir):
+    """A store that is loaded, pulls what is newer, and is looked up in: of each key the newest row."""
+    from ..sources import scratch
+    from ..streaming import LookupStore
+
+    rows = folder(spark, sf_dir)("customer").select(F.col("c_nationkey").alias("id"), F.col("c_name").alias("name"), F.col("c_custkey").alias("newest"))
+    store = LookupStore(spark, scratch(spark), "id", "newest")
+    store.refresh(rows.where("newest % 3 = 0"))
+    store.apply(rows.where("newest % 3 = 1"), 0)
+    store.apply(rows.where("newest % 3 = 2"), 1)
+    store.pull(rows)
+    return store.namespace("customers").df

@@ -18,15 +18,17 @@ from .request import Request, from_json
 
 class Engine:
     """today: the day that look-back guards count from, a function so that it can be set; listeners: called with
-    (request, resolved) when a request has been planned."""
+    (request, resolved) when a request has been planned; transformers: called with (result, resolved), each giving the
+    result on, for what an application does to every result; namespaces: for columns that are looked up."""
 
     def __init__(
         self, spark: SparkSession, registry: Registry, source: Callable[[str], DataFrame], *, schema: str = "default", today: Callable[[], date] = date.today,
         preference: Preference | None = None, estimate=None, buckets: Mapping[str, Buckets] | None = None, listeners: tuple[Callable[[Request, Resolved], None], ...] = (),
-        namespaces: Mapping[str, Namespace] | Callable[[str], Namespace] | None = None,
+        namespaces: Mapping[str, Namespace] | Callable[[str], Namespace] | None = None, transformers: tuple[Callable[[DataFrame, Resolved], DataFrame], ...] = (),
     ):
         self.spark, self.registry, self.schema, self.today = spark, registry, schema, today
         self.preference, self.estimate, self.buckets, self.listeners = preference, estimate, dict(buckets or {}), listeners
+        self.transformers = transformers
         self.planner = Planner(spark, registry, source, namespaces.__getitem__ if isinstance(namespaces, Mapping) else namespaces)
 
     def resolve(self, request: Request | Mapping[str, Any] | str) -> Resolved:
@@ -43,7 +45,10 @@ class Engine:
             listen(r.request, r)
         if r.request.query_type == "rowcount":
             return self.planner.groups(r)
-        return self.planner.frame(r, only_keys)
+        out = self.planner.frame(r, only_keys)
+        for change in self.transformers:
+            out = change(out, r)
+        return out
 
     def execute(self, request) -> dict[str, DataFrame]:
         """The results of the request's curators, by name."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.lookup import Namespace
+
 
 def latest(changes: DataFrame, key: str, updated: str, tie: str | None = None) -> DataFrame:
     """The newest row of each key; an aggregate with partial results, so a hot key isn't gathered.  tie: decides among
@@ -21,7 +23,11 @@ def merged(table: DataFrame | None, changes: DataFrame, key: str, updated: str,
 
 
 class LookupStore:
-    """Versions of a lookup table in a folder, <path>/v=<n>; readers take the last complete one."""
+    """Versions of a lookup table in a folder, <path>/v=<load>.<batch>; readers take the last complete one.
+
+    A full load (of a file, a database or a snapshot) begins a new <load>; changes, of a stream or pulled, are batches of
+    it, numbered from 1, so that a batch that comes again gives the same version.
+    """
 
     def __init__(self, spark: SparkSession, path: str, key: str, updated: str, tie: str | None = None):
         self.spark, self.path, self.key, self.updated, self.tie = spark, path, key, updated, tie
@@ -30,33 +36,64 @@ class LookupStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
+    def versions(self) -> list[tuple[int, int]]:
         fs, p = self._fs()
         if not fs.exists(p):
             return []
         found = [s.getPath() for s in fs.listStatus(p)]
         done = [x for x in found if x.getName().startswith("v=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-        return sorted(int(x.getName()[2:]) for x in done)
+        return sorted(tuple(map(int, x.getName()[2:].split("."))) for x in done)
+
+    def _at(self, version: tuple[int, int]) -> str:
+        return f"{self.path}/v={version[0]}.{version[1]}"
 
     def read(self) -> DataFrame | None:
         v = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v={v[-1]}") if v else None
+        return self.spark.read.parquet(self._at(v[-1])) if v else None
+
+    def namespace(self, name: str) -> Namespace:
+        """For the lookups of cubes; the version that is the last now."""
+        table = self.read()
+        if table is None:
+            raise ValueError(f"{name} hasn't been loaded")
+        return Namespace(name, table, self.key)
 
     def apply(self, changes: DataFrame, batch: int) -> None:
-        """Writes the version of a batch; a batch that comes again gives the same version."""
-        before = [v for v in self.versions() if v < batch]
-        table = self.spark.read.parquet(f"{self.path}/v={before[-1]}") if before else None
-        merged(table, changes, self.key, self.updated, self.tie).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        """Writes the version of a batch of changes."""
+        known = self.versions()
+        to = (known[-1][0] if known else 0, batch + 1)
+        before = [v for v in known if v < to]
+        table = self.spark.read.parquet(self._at(before[-1])) if before else None
+        merged(table, changes, self.key, self.updated, self.tie).write.mode("overwrite").parquet(self._at(to))
 
     def refresh(self, full: DataFrame) -> None:
-        """A full load instead of changes."""
-        self.apply(full, (self.versions() or [-1])[-1] + 1)
+        """A full load instead of changes: what it hasn't goes."""
+        known = self.versions()
+        latest(full, self.key, self.updated, self.tie).write.mode("overwrite").parquet(self._at(((known[-1][0] + 1) if known else 0, 0)))
+
+    def pull(self, source: DataFrame) -> int:
+        """The rows that changed since the newest one held, in one batch; of a database, it gets that as a predicate.
+        Returns how many came; those of the newest time come again, as some may have been written later in it."""
+        table = self.read()
+        since = table.agg(F.max(self.updated)).first()[0] if table is not None else None
+        changes = source if since is None else source.where(F.col(self.updated) >= F.lit(since))
+        n = changes.count()
+        if n:
+            known = self.versions()
+            self.apply(changes, known[-1][1] if known else 0)
+        return n
 
     def follow(self, stream: DataFrame, checkpoint: str, *, once: bool = False) -> StreamingQuery:
-        """Applies a stream's micro-batches; exactly once, as versions are numbered by the batch."""
+        """Applies a stream's micro-batches, on top of the last full load."""
         w = stream.writeStream.foreachBatch(lambda df, n: self.apply(df, n)).option("checkpointLocation", checkpoint)
         return (w.trigger(availableNow=True) if once else w).start()
 
+    def forget(self, keep: int = 2) -> None:
+        """Deletes all but the last versions."""
+        fs, _ = self._fs()
+        for v in self.versions()[: -max(keep, 1)]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._at(v)), True)
+
 
 def incremental(source: DataFrame, updated: str, since, until=None) -> DataFrame:
     """Rows changed after `since`, up to `until`: a predicate that a JDBC source takes over."""
@@ -67,3 +104,9 @@ def incremental(source: DataFrame, updated: str, since, until=None) -> DataFrame
 def missed(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str) -> DataFrame:
     """Distinct keys that the lookup doesn't have, to be published."""
     return df.where(F.col(key).isNotNull()).join(lookup, F.col(key) == F.col(lookup_key), "left_anti").select(key).distinct()
+
+
+def publish(rows: DataFrame, key: str, *, format: str = "kafka", **options: str) -> None:
+    """Rows as messages (key, JSON) for another system: a topic, or any sink that Spark writes."""
+    made = rows.select(F.col(f"`{key}`").cast("string").alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
+    made.write.format(format).options(**options).mode("append").save()

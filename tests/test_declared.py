@@ -135,3 +135,40 @@ def test_database(spark, data, tmp_path):
     own = e.planner.source
     e.planner.source = lambda name: df if name == "part" else own(name)
     assert sorted(map(tuple, e.frame(body("Brand", "Quantity", rowsPerPage=-1)).collect())) == want
+
+
+def test_stores_load_pull_and_follow(spark, tmp_path):
+    from prismcube.sources import Location
+    from prismcube.streaming import LookupStore, publish
+
+    (tmp_path / "full.tsv").write_text("1\tone\t10\n2\ttwo\t10\n")
+    full = Location("tsv", str(tmp_path / "full.tsv"), "id long, name string, at long").read(spark)
+    store = LookupStore(spark, str(tmp_path / "store"), "id", "at", "name")
+    assert store.read() is None
+    store.refresh(full)
+    held = lambda: {r.id: r.name for r in store.read().collect()}
+    assert held() == {1: "one", 2: "two"}
+    newer = spark.createDataFrame([(1, "uno", 12), (3, "three", 11), (2, "late", 9), (3, "tie", 11)], "id long, name string, at long")
+    assert store.pull(newer) == 3 and held() == {1: "uno", 2: "two", 3: "tie"}
+    assert store.pull(newer) == 1 and held() == {1: "uno", 2: "two", 3: "tie"}  # those of the newest time come again
+    newer.write.parquet(str(tmp_path / "stream"))
+    store.refresh(full)  # a snapshot, and the stream on top of it
+    stream = spark.readStream.schema(newer.schema).parquet(str(tmp_path / "stream"))
+    store.follow(stream, str(tmp_path / "at"), once=True).awaitTermination()
+    assert held() == {1: "uno", 2: "two", 3: "tie"}
+    store.forget(1)
+    assert len(store.versions()) == 1 and held() == {1: "uno", 2: "two", 3: "tie"}
+    publish(store.read().where("id = 3"), "id", format="json", path=str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().key == "3"
+
+
+def test_request_log_and_transformers(spark, data, tmp_path):
+    from prismcube.requestlog import RequestLog
+
+    log = RequestLog(spark, path=str(tmp_path / "log"), size=2)
+    e = trade_engine(spark, data, listeners=(log,), transformers=(lambda df, r: df.withColumn("cube", F.lit(r.cube.name)),))
+    for k in range(3):
+        out = e.frame(body("Flag", "Lines", additionalParameters={"RequestId": str(k)}))
+    assert out.columns == ["Flag", "Lines", "cube"] and len(log.records) == 1
+    log.flush()
+    assert sorted(r.request_id for r in spark.read.json(str(tmp_path / "log")).collect()) == ["0", "1", "2"]
