@@ -66,10 +66,11 @@ class LookupStore:
         table = self.spark.read.parquet(self._at(before[-1])) if before else None
         merged(table, changes, self.key, self.updated, self.tie).write.mode("overwrite").parquet(self._at(to))
 
-    def refresh(self, full: DataFrame) -> None:
-        """A full load instead of changes: what it hasn't goes."""
+    def refresh(self, full: DataFrame, *, replace: bool = False) -> None:
+        """A full load instead of changes, over what is there; replace: keys that it hasn't go."""
         known = self.versions()
-        latest(full, self.key, self.updated, self.tie).write.mode("overwrite").parquet(self._at(((known[-1][0] + 1) if known else 0, 0)))
+        table = self.read() if known and not replace else None
+        merged(table, full, self.key, self.updated, self.tie).write.mode("overwrite").parquet(self._at(((known[-1][0] + 1) if known else 0, 0)))
 
     def pull(self, source: DataFrame) -> int:
         """The rows that changed since the newest one held, in one batch; of a database, it gets that as a predicate.

@@ -152,7 +152,8 @@ def test_stores_load_pull_and_follow(spark, tmp_path):
     assert store.pull(newer) == 3 and held() == {1: "uno", 2: "two", 3: "tie"}
     assert store.pull(newer) == 1 and held() == {1: "uno", 2: "two", 3: "tie"}  # those of the newest time come again
     newer.write.parquet(str(tmp_path / "stream"))
-    store.refresh(full)  # a snapshot, and the stream on top of it
+    store.refresh(full, replace=True)  # a snapshot, and the stream on top of it
+    assert held() == {1: "one", 2: "two"}
     stream = spark.readStream.schema(newer.schema).parquet(str(tmp_path / "stream"))
     store.follow(stream, str(tmp_path / "at"), once=True).awaitTermination()
     assert held() == {1: "uno", 2: "two", 3: "tie"}
