@@ -2,7 +2,8 @@
 
 The fact is filtered, aggregated to the keys of its dimensions, and then joined, so that joins see groups instead of
 rows.  Where the result leaves a key out, the joined groups are aggregated again on what is shown; metrics are carried
-as primitives and computed last.  Metrics that can't be aggregated twice are aggregated once, above the joins.  A page
+as primitives and computed last.  Distinct values are grouped by below the joins and counted above them; other metrics
+that can't be aggregated twice are aggregated once, above the joins.  A page
 that is sorted by columns of one side only is cut before the join.  No hint asks for a broadcast: Spark does that by
 the measured size of a side, and adaptive execution splits skewed joins.
 """
@@ -294,9 +295,14 @@ class Planner:
         how = r.join
         key = lambda d: F.col(f"fk_{d}")
         if again and not m.mergeable:  # join first, aggregate once
-            held = rows.select("*", *[c.alias(n) for n, c in {**fks, **{f"k_{n}": c for n, c in shown.items()}}.items()])
-            held = self._joined(held, r, key, how)
+            keys = [c.alias(n) for n, c in {**fks, **{f"k_{n}": c for n, c in shown.items()}}.items()]
             groups = [F.col(f"k_{n}").alias(n) for n in shown] + self._dim_items(r)
+            if m.countable:  # distinct values are grouped by below the join, and counted above it
+                by, partial = [*keys, *m.values()], m.partial()
+                held = self._joined(rows.groupBy(*by).agg(*partial) if partial else rows.select(*by).distinct(), r, key, how)
+                out = held.groupBy(*groups).agg(*m.counted()) if groups else held.agg(*m.counted())
+                return self._projected(out, r, finals, having), False
+            held = self._joined(rows.select("*", *keys), r, key, how)
             out = held.groupBy(*groups).agg(*m.aggregates()) if groups else held.agg(*m.aggregates())
             return self._projected(out, r, finals, having), False
         groups = [c.alias(n) for n, c in {**fks, **shown}.items()]

@@ -41,6 +41,7 @@ class Primitive:
     name: str
     first: Column
     again: Callable[[Column], Column] | None  # over partial results; None: there is no way
+    distinct: tuple[Column, ...] = ()  # what is counted, where that can be grouped by first and counted later
 
 
 @dataclass
@@ -59,10 +60,15 @@ class Metrics:
     def raw(self, name: str) -> Column:
         return raw_column(self.fact, name, self.named)
 
-    def _add(self, first: Column, again: Callable[[Column], Column] | None) -> Column:
+    @property
+    def countable(self) -> bool:
+        """Whether all that can't be aggregated again are counts of distinct values."""
+        return all(p.again or p.distinct for p in self.primitives.values())
+
+    def _add(self, first: Column, again: Callable[[Column], Column] | None, distinct: tuple[Column, ...] = ()) -> Column:
         key = str(first)
         if key not in self.primitives:
-            self.primitives[key] = Primitive(f"p{len(self.primitives)}", first, again)
+            self.primitives[key] = Primitive(f"p{len(self.primitives)}", first, again, distinct)
         return F.col(self.primitives[key].name)
 
     def _simple(self, kind: str, c: Column | None, type_=None) -> Column:
@@ -75,7 +81,7 @@ class Metrics:
         if kind == "avg":
             return F.try_divide(self._add(F.sum(c.cast("double")), F.sum), self._add(F.count(c), F.sum))
         if kind == "count_distinct":
-            return self._add(F.count_distinct(c), None)
+            return self._add(F.count_distinct(c), None, (c,))
         raise ModelError(f"unknown rollup {kind}")
 
     def matches(self, filters: tuple[Filter, ...]) -> Column | None:
@@ -131,7 +137,7 @@ class Metrics:
             if r.exact:
                 if len(fields) > 1 and not r.by_row:
                     raise ModelError("an exact cardinality over several fields counts rows")
-                return self._add(F.count_distinct(*fields), None)
+                return self._add(F.count_distinct(*fields), None, tuple(fields))
             text = [c.cast("string") for c in fields]
             if r.by_row:
                 return F.hll_sketch_estimate(self._add(F.hll_sketch_agg(F.to_json(F.struct(*text)), F.lit(14)), F.hll_union_agg))
@@ -161,3 +167,14 @@ class Metrics:
 
     def again(self) -> list[Column]:
         return [p.again(F.col(p.name)).alias(p.name) for p in self.primitives.values()]
+
+    def values(self) -> list[Column]:
+        """Distinct values to group by first, for `counted`."""
+        return [c.alias(f"{p.name}_{n}") for p in self.primitives.values() if not p.again for n, c in enumerate(p.distinct)]
+
+    def partial(self) -> list[Column]:
+        return [p.first.alias(p.name) for p in self.primitives.values() if p.again]
+
+    def counted(self) -> list[Column]:
+        """Over groups that were grouped by `values` as well."""
+        return [(p.again(F.col(p.name)) if p.again else F.count_distinct(*[F.col(f"{p.name}_{n}") for n in range(len(p.distinct))])).alias(p.name) for p in self.primitives.values()]
