@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..cubes.trade import registry, trade_engine
 from ..functions import derived
 from ..model import DateType, DecType, DimCol, FactCol, IntType, PublicCol, Registry, StrType
-from ..operators.rollups import NOOP, Custom
+from ..operators.filters import F_in
+from ..operators.rollups import NOOP, Custom, Theta, ThetaSetOp
 from ..sources import folder
 from . import E, L, query, register, request, where
 
@@ -131,6 +132,9 @@ part("post_js", {"v": dim("{p_size}", post="javascript('twice', {value})")}, "p_
 orders("post_date_fmt", {"v": dim("to_char({o_orderdate}, 'yyyyMMdd')", post="day_text({value}, 'yyyyMMdd')")}, "strftime(o_orderdate, '%Y-%m-%d') AS v")
 part("post_number", {"v": dim("{p_size} / 4", post="number({value}, 0)")}, "CAST(round_even(p_size / 4, 0) AS DOUBLE) AS v")
 asked("post_metric", "sales", {"v": FactCol("", DecType(scale=4), NOOP, expr="{price} /- {quantity}", uses=("price", "quantity"), post="number({value}, 1)")}, {"supplier": "Supplier ID", "u": "Unit Price"}, f"SELECT l_suppkey AS supplier, round(sum(l_extendedprice) / sum(l_quantity), 6) AS u, round_even(round(sum(l_extendedprice) / sum(l_quantity), 4), 1) AS v FROM lineitem WHERE {L} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", sort=[("u", "DESC"), ("supplier", "ASC")], rowsPerPage=20)
+asked("join_range_lookup", "sales", {"class": "in_ranges({l_quantity}, 0, 10, 'small', 10, 30, 'medium', 30, 45, 'large')"}, {"lines": "Lines"}, f"SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'medium' WHEN l_quantity < 45 THEN 'large' END AS class, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1")
+USERS = "SELECT user_id FROM events WHERE " + E + " AND event_type = "
+asked("set_theta", "activity", {"both": FactCol("", IntType(), ThetaSetOp("INTERSECT", tuple(Theta("user_id", where=(F_in("kind", k),)) for k in ("purchase", "click"))))}, {}, f"SELECT count(*) AS both FROM ({USERS} 'purchase' INTERSECT {USERS} 'click')")
 
 
 @query("udf_register", "SELECT p_partkey AS id, lower(p_type) || '!' AS v FROM part")

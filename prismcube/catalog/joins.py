@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import L, ask, query, request, where
+from . import L, ask, request, where
 
 Q = "CAST(sum(l_quantity) AS BIGINT) AS quantity"
 O = "(SELECT * FROM orders WHERE o_orderstatus <> 'P')"  # noqa: E741
@@ -89,15 +89,3 @@ def _partitioned():
 
 
 ask("join_partition_keys", request("sales", {"customer_id": "Customer ID", "nation": "Nation"}), "SELECT c_custkey AS customer_id, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 5 = n_nationkey % 5", registry=_partitioned)
-
-
-@query("join_range_lookup", "SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' WHEN p_size < 45 THEN 'large' END AS class, count(*) AS parts FROM part GROUP BY 1")
-def _(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from ..operators.joins import in_ranges
-    from ..plans.select import RangeLookup
-    from ..sources import folder
-
-    sizes = RangeLookup([(0, 10, "small"), (10, 30, "medium"), (30, 45, "large")])
-    return folder(spark, sf_dir)("part").groupBy(in_ranges(F.col("p_size"), sizes).alias("class")).agg(F.count(F.lit(1)).alias("parts"))

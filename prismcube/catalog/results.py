@@ -58,15 +58,3 @@ def _(spark, sf_dir):
 
 ask("set_union_view", request("branches", {"channel": "Channel", "supplier": "Supplier", "quantity": "Quantity"}), f"SELECT CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'sales' END AS channel, s_name AS supplier, {Q} FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE {L} GROUP BY 1, 2")
 ask("set_union_view_constant", request("branches", {"status": "Line Status", "quantity": "Quantity"}, where("Channel", "=", "returns")), f"SELECT l_linestatus AS status, {Q} FROM lineitem WHERE {L} AND l_returnflag = 'R' GROUP BY 1")
-
-
-@query("set_theta", f"SELECT count(*) AS both FROM (SELECT user_id FROM events WHERE {E} AND event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE {E} AND event_type = 'click')")
-def _(spark, sf_dir):
-    from ..operators.rollups import theta_set
-    from ..timezone import windows, within
-    from ..request import from_json
-
-    spans = windows(from_json(request("activity", {"e": "Events"})))
-    rows = folder(spark, sf_dir)("events").where(within(F.col("ts"), spans))
-    made = rows.agg(*[F.theta_sketch_agg(F.when(F.col("event_type") == k, F.col("user_id")), F.lit(14)).alias(k) for k in ("purchase", "click")])
-    return made.select(theta_set("INTERSECT", [F.col("purchase"), F.col("click")]).alias("both"))

@@ -306,6 +306,16 @@ def number(c: Column, scale: int = 10) -> Column:
     return F.bround(c, scale)
 
 
+def in_ranges(c: Column, *triples) -> Column:
+    """low, high, value, ...: the value of the half-open range that holds c; null for none."""
+    from ..operators.joins import in_ranges as found
+    from ..plans.select import RangeLookup
+
+    if not triples or len(triples) % 3:
+        raise ExpressionError("in_ranges takes low, high and value of each range")
+    return found(c, RangeLookup([tuple(triples[i : i + 3]) for i in range(0, len(triples), 3)]))
+
+
 #: Functions that take arguments as they are written.
 WRITTEN: dict[str, Callable[..., Column]] = {
     "round": F.round, "trunc": truncate, "decode": decode, "decode_dim": decode, "decode_retain": decode_dim,
@@ -313,5 +323,5 @@ WRITTEN: dict[str, Callable[..., Column]] = {
     "get_interval_date": interval_date, "interval_text": interval_text, "format_date": format_date, "format_date_with_least": format_date_least, "timestamp_to_formatted_date": millis_to_date,
     "to_char": to_char, "day_of_week": day_of_week, "time_format_with_timezone": time_format_zone, "time_format": time_format, "time_format_period": time_format_period, "substr": substring,
     "javascript": native, "iso_week": iso_week, "start_of_the_week": week_start, "start_of_the_month": month_start, "day_text": day_text, "number": number,
-    "video_weighted": lambda *a: video_weighted(*map(_column, a)), "video_sum": lambda *a: video_sum(*map(_column, a)),
+    "video_weighted": lambda *a: video_weighted(*map(_column, a)), "video_sum": lambda *a: video_sum(*map(_column, a)), "in_ranges": in_ranges,
 }
