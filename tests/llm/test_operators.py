@@ -343,8 +343,10 @@ def test_line_dedup(spark, documents):
     want = kept_lines(docs)
     got = {r.doc_id: r.kept for r in dedup_lines(documents).collect()}
     wrong = [i for i in want if (got[i] or "") != want[i]]
-    # A pair of similarity 0.8 is missed with a probability of 0.3 %, others with less.
+    # A pair of similarity 0.8 is missed with a probability of 0.3 %, others with less: then a line more stays, never less.
     assert len(wrong) <= 0.01 * len(want)
+    for i in wrong:
+        assert not Counter(want[i].split("\n")) - Counter((got[i] or "").split("\n"))
 
 
 def test_line_dedup_of_edited_lines(spark):
