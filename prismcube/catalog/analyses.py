@@ -50,7 +50,7 @@ def said(name: str, text: str, sql: str) -> None:
 DAYS = "\"Day\" BETWEEN '1995-01-01' AND '2001-12-31'"
 said("sql_select", f'SELECT "Brand" AS brand, "Quantity" AS quantity, "Unit Price" AS unit_price FROM sales WHERE {DAYS} AND "Type" <> \'PROMO\' ORDER BY quantity DESC, brand OFFSET 2 ROWS FETCH NEXT 8 ROWS ONLY', f"SELECT p_brand AS brand, {Q}, round(sum(l_extendedprice) / sum(l_quantity), 6) AS unit_price FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {L} AND p_type <> 'PROMO' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8 OFFSET 2")
 said("sql_where", f"SELECT \"Flag\" AS flag, \"Lines\" AS lines FROM sales WHERE {DAYS} AND (\"Line\" IN ('1', '2') OR \"Line\" > 5 OR \"Line Status\" LIKE '%F%') AND \"Flag\" NOT IN ('N') AND \"Line Status\" IS NOT NULL", f"SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem WHERE {L} AND (l_linenumber IN (1, 2) OR l_linenumber > 5 OR contains(l_linestatus, 'F')) AND l_returnflag NOT IN ('N') GROUP BY 1")
-said("sql_having", f'SELECT "Supplier ID" AS id, "Lines" AS lines FROM sales WHERE {DAYS} HAVING "Lines" > 260', f"SELECT l_suppkey AS id, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1 HAVING count(*) > 260")
+said("sql_having", f'SELECT "Supplier ID" AS id, "Lines" AS lines FROM sales WHERE {DAYS} HAVING "Lines" > 600', f"SELECT l_suppkey AS id, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1 HAVING count(*) > 600")
 said("sql_day_range", "SELECT \"Day\" AS day, \"Lines\" AS lines FROM sales WHERE \"Day\" >= '1997-01-10' AND \"Day\" <= '1997-02-05'", "SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS lines FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-10' AND l_shipdate < TIMESTAMP '1997-02-06' GROUP BY 1")
 
 

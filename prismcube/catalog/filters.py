@@ -50,13 +50,13 @@ event("flt_day_hour_minute", [where("Hour", "Between", "06", "11"), where("Minut
 event("flt_day_hour", [where("Hour", "=", "07")], "ts >= TIMESTAMP '2024-01-08 07:00:00' AND ts < TIMESTAMP '2024-01-08 08:00:00'", day=where("Day", "=", "2024-01-08"))
 ask(
     "flt_metric_having",
-    request("sales", {"supplier": "Supplier ID", "quantity": "Quantity", "lines": "Lines"}, where("Quantity", ">", 900), where("Lines", "Between", 10, 400)),
-    f"SELECT l_suppkey AS supplier, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1 HAVING sum(l_quantity) > 900 AND count(*) BETWEEN 10 AND 400",
+    request("sales", {"supplier": "Supplier ID", "quantity": "Quantity", "lines": "Lines"}, where("Quantity", ">", 15200), where("Lines", "Between", 10, 610)),
+    f"SELECT l_suppkey AS supplier, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1 HAVING sum(l_quantity) > 15200 AND count(*) BETWEEN 10 AND 610",
 )
 ask(
     "flt_or_metrics",
-    request("sales", {"supplier": "Supplier ID", "quantity": "Quantity", "lines": "Lines"}, {"operator": "Or", "filterExpressions": [where("Quantity", "<", 6000), where("Lines", ">", 290)]}),
-    f"SELECT l_suppkey AS supplier, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1 HAVING sum(l_quantity) < 6000 OR count(*) > 290",
+    request("sales", {"supplier": "Supplier ID", "quantity": "Quantity", "lines": "Lines"}, {"operator": "Or", "filterExpressions": [where("Quantity", "<", 15000), where("Lines", ">", 620)]}),
+    f"SELECT l_suppkey AS supplier, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(*) AS lines FROM lineitem WHERE {L} GROUP BY 1 HAVING sum(l_quantity) < 15000 OR count(*) > 620",
 )
 ASKED = {"order_id": "Order ID", "order_status": "Order Status", "quantity": "Quantity"}
 ask(

@@ -26,7 +26,7 @@ ask("sort_const_skipped", request("sales", {"supplier_id": "Supplier ID", "kind"
 ask("limit_page", request("sales", BY, sort=[("quantity", "DESC"), ("supplier_id", "ASC")], paginationStartIndex=30, rowsPerPage=10), f"{SUPPLIERS} ORDER BY 2 DESC, 1 LIMIT 10 OFFSET 30")
 ask("limit_topn", request("sales", {"part_id": "Part ID", "max_price": "Max Price"}, sort=[("max_price", "DESC"), ("part_id", "ASC")], rowsPerPage=12), f"SELECT l_partkey AS part_id, max(l_extendedprice) AS max_price FROM lineitem WHERE {L} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12")
 ask("win_total_rows", request("sales", {"customer_id": "Customer ID", "segment": "Segment"}, where("Balance", ">", 9000), includeRowCount=True), 'SELECT c_custkey AS customer_id, c_mktsegment AS segment, count(*) OVER () AS "TOTALROWS" FROM customer WHERE c_acctbal > 9000')
-ask("win_grand_count_fact", request("sales", BY, where("Quantity", ">", 7000), includeRowCount=True, sort=[("quantity", "DESC"), ("supplier_id", "ASC")], rowsPerPage=4), f'SELECT *, count(*) OVER () AS "TOTALROWS" FROM ({SUPPLIERS} HAVING sum(l_quantity) > 7000) ORDER BY 2 DESC, 1 LIMIT 4')
+ask("win_grand_count_fact", request("sales", BY, where("Quantity", ">", 15500), includeRowCount=True, sort=[("quantity", "DESC"), ("supplier_id", "ASC")], rowsPerPage=4), f'SELECT *, count(*) OVER () AS "TOTALROWS" FROM ({SUPPLIERS} HAVING sum(l_quantity) > 15500) ORDER BY 2 DESC, 1 LIMIT 4')
 
 
 ask("win_row_number", request("sales", BY, sort=[("quantity", "DESC"), ("supplier_id", "ASC")], paginationStartIndex=20, rowsPerPage=10, additionalParameters={"RowNumber": True}), f'SELECT * FROM (SELECT *, row_number() OVER (ORDER BY quantity DESC, supplier_id) AS "ROWNUM" FROM ({SUPPLIERS})) WHERE "ROWNUM" BETWEEN 21 AND 30')
