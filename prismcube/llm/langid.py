@@ -34,6 +34,8 @@ SAMPLE, SAMPLE_CHARS = 600, 20_000
 UNKNOWN = "und"
 #: Bytes of text scored at once; their words have about a hundred times as many bytes of features.
 SLAB = 256 << 10
+#: Distinct words of which the features are made at once for training.
+PART = 4096
 #: Least number of texts drawn of a language in a round, and the length that no weight vector exceeds.
 MIN_DRAWS, RADIUS = 300, 8.0
 
@@ -100,9 +102,23 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 4, rate: float =
     lo, hi = np.searchsorted(starts, begin), np.searchsorted(starts, begin + sizes)
     if not len(starts):
         return LanguageModel(langs, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs)), 1.0, 0.0)
-    _, one, which = np.unique(word_hashes(rolling, data, starts, ends), return_index=True, return_inverse=True)
-    ids, count = _features(rolling, data, starts[one], ends[one])
+    # In parts, as hashing takes many times its text of memory, and the driver's is small.
+    parts = []
+    for i, j in slabs(np.append(begin, len(data)), SLAB):
+        a, b = begin[i], begin[j] if j < len(begin) else len(data)
+        w = slice(lo[i], hi[j - 1])
+        parts.append(word_hashes(rolling, data[a:b], starts[w] - a, ends[w] - a))
+    _, one, which = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+    which = which.astype(np.int32)
+    parts = []
+    for k in range(0, len(one), PART):
+        at, ends_at = starts[one[k : k + PART]], ends[one[k : k + PART]]
+        size = ends_at - at
+        first = np.cumsum(size) - size
+        parts.append(_features(rolling, data[ranges(at, size)], first, first + size))
+    ids, count = np.concatenate([x.astype(np.uint16) for x, _ in parts]), np.concatenate([n for _, n in parts])
     head = np.cumsum(count) - count
+    del parts, starts, ends, data, raw
     usable = np.flatnonzero(hi > lo)
     held, fit = usable[usable % 5 == 0], usable[usable % 5 != 0]
     if not len(fit):
