@@ -431,6 +431,29 @@ def test_linked_is_exact_within_buckets(spark, seed):
     assert {u: c for u, c in want.items() if count[c] > 1} == got
 
 
+def shuffled_bytes(spark) -> int:
+    from pathlib import Path
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*") if p.exists())
+
+
+def test_shuffles_of_done_plans_are_deleted(spark, monkeypatch):
+    import time
+
+    from prismcube.llm import _common
+
+    monkeypatch.setattr(_common, "RELEASE", 0)
+    before = shuffled_bytes(spark)
+    out = _common.stored(spark.range(400_000).selectExpr("id", "xxhash64(id) as h").repartition(4, "h"))
+    for _ in range(100):
+        if shuffled_bytes(spark) <= before + 1_000_000:
+            break
+        time.sleep(0.1)
+    assert shuffled_bytes(spark) <= before + 1_000_000
+    _common.discard(out)
+
+
 def test_lines_of_repeated_shingles(spark):
     from prismcube.llm.lines import drop_repeated_lines
 
