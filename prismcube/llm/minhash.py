@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, PLAIN_WORD, Rolling, discard, flat, linked, mix, slabs, stored, word_hashes, word_spans
+from ._common import NULL_ID, PLAIN_WORD, Rolling, buckets, discard, flat, linked, mix, slabs, stored, word_hashes, word_spans
 
 SIZE, ROWS = 128, 4
 BANDS = SIZE // ROWS
@@ -217,8 +217,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_
     nodes = signed.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("u", F.monotonically_increasing_id()))  # unique, and fixed once written
     spread = nodes.select("u", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high")
-    met = stored(spread.join(shared, "key").select("key", "u"))  # nodes that share a band
+    met = stored(buckets(spread))  # nodes that share a band
     # One text for each node in question.
     asked = nodes.select("u", "doc", "k1", "k2").join(met.select("u").distinct(), "u", "left_semi")
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))

@@ -431,6 +431,33 @@ def test_linked_is_exact_within_buckets(spark, seed):
     assert {u: c for u, c in want.items() if count[c] > 1} == got
 
 
+def test_keys_of_the_same_nodes_are_one_bucket(spark):
+    """Nodes 1 and 2 meet under five keys, and with 3 under one more: two buckets, whose pairs are made once."""
+    from prismcube.llm._common import buckets
+
+    keys = [(k, u) for k in range(5) for u in (1, 2)] + [(9, u) for u in (1, 2, 3)] + [(11, 4)]
+    got = buckets(spark.createDataFrame(keys, "key long, u long"))
+    assert sorted(rows(got.select("key", "u", "n", "m"))) == [(0, 1, 2, 5), (0, 2, 2, 5), (9, 1, 3, 1), (9, 2, 3, 1), (9, 3, 3, 1)]
+
+
+def test_bits_rule_out_no_link(spark):
+    """Pairs that the bits rule out are below the threshold, and most pairs far below it are ruled out."""
+    from prismcube.llm.lines import _marks, _possible
+
+    rng, texts, pairs = random.Random(5), [], []
+    for i in range(300):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(rng.randint(2, 60))]
+        other = [w if rng.random() > i / 600 else "".join(rng.choices("abcdefgh", k=4)) for w in words]
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other * (1 + i % 2)))]
+        pairs.append((2 * i, 2 * i + 1))
+    of = dict(texts)
+    marks = _marks(spark.createDataFrame(texts, "u long, l string"))
+    may = {r.a: r.may for r in _possible(spark.createDataFrame(pairs, "a long, b long"), marks, 0.8).collect()}
+    like = {a: similarity(of[a], of[b]) for a, b in pairs}
+    assert all(may[a] for a, x in like.items() if x >= 0.8)
+    assert not any(may[a] for a, x in like.items() if x < 0.4 and len(of[a]) > 60 and a % 4 == 0)
+
+
 def shuffled_bytes(spark) -> int:
     from pathlib import Path
 
