@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LETTER_WORD, LOWER, Rolling, flat, mix, ranges, slabs, word_hashes, word_spans
+from ._common import LETTER_WORD, LOWER, Rolling, flat, mix, ranges, slabs, trimmed, word_hashes, word_spans
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (1, 2, 3, 4)
 SAMPLE, SAMPLE_CHARS = 600, 20_000
@@ -234,7 +234,7 @@ def identify_language(df: DataFrame, model: LanguageModel, *, id_col: str = "doc
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "held_out", "lang_pred", "score", "rejected"])
 
     d = df.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).cast("string"))
-    return d.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return d.mapInArrow(trimmed(run), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
@@ -247,4 +247,4 @@ def keep_identified(df: DataFrame, model: LanguageModel, *, text_col: str = "tex
             lang, score = _predict(model, batch.column(at))
             yield batch.filter(pa.array((lang >= 0) & (score >= model.reject)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, PLAIN_WORD, Rolling, buckets, discard, flat, linked, mix, slabs, stored, word_hashes, word_spans
+from ._common import NULL_ID, PLAIN_WORD, Rolling, buckets, discard, flat, linked, mix, slabs, stored, trimmed, word_hashes, word_spans
 
 SIZE, ROWS = 128, 4
 BANDS = SIZE // ROWS
@@ -154,7 +154,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in (0, 1)), pa.ListArray.from_arrays(offsets, pa.array(bands))], names=["doc", "k1", "k2", "bands"])
 
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    return docs.select(doc, F.col(text_col).cast("string")).mapInArrow(run, "doc bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return docs.select(doc, F.col(text_col).cast("string")).mapInArrow(trimmed(run), "doc bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -179,7 +179,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     t = pairs.join(texts.select(F.col("u").alias("a"), F.col("text").alias("ta")), "a")
     t = t.join(texts.select(F.col("u").alias("b"), F.col("text").alias("tb")), "b")
-    return t.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, ok boolean")
+    return t.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a bigint, b bigint, ok boolean")
 
 
 def _tokens(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _tokens(nodes: DataFrame, texts: DataFrame) -> DataFrame:
                 owner, h, count = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 yield pa.RecordBatch.from_arrays([pa.array(node[i:j][owner]), pa.array(h.view(np.int64)), pa.array(count)], names=["u", "h", "w"])
 
-    return texts.join(nodes, "u", "left_semi").select("u", "text").mapInArrow(run, "u bigint, h bigint, w bigint")
+    return texts.join(nodes, "u", "left_semi").select("u", "text").mapInArrow(trimmed(run), "u bigint, h bigint, w bigint")
 
 
 def _of_digest(df: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def _of_digest(df: DataFrame) -> DataFrame:
             same = (np.concatenate(found) == asked).all(1) if found else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "text"]).filter(pa.array(same))
 
-    return df.select("u", "text", "k1", "k2").mapInArrow(run, "u bigint, text string").dropDuplicates(["u"])
+    return df.select("u", "text", "k1", "k2").mapInArrow(trimmed(run), "u bigint, text string").dropDuplicates(["u"])
 
 
 def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

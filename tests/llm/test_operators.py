@@ -481,6 +481,25 @@ def test_shuffles_of_done_plans_are_deleted(spark, monkeypatch):
     _common.discard(out)
 
 
+def test_workers_give_freed_memory_back():
+    import os
+    from pathlib import Path
+
+    from prismcube.llm._common import trimmed
+
+    pages = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    kept = []
+
+    def run(batches):
+        made = [bytes(1000) for _ in range(300_000)]
+        kept.append(made[-1])  # at the heap's end, which would hold all before it
+        yield from batches
+
+    before = pages()
+    assert list(trimmed(run)([1, 2])) == [1, 2]
+    assert pages() - before < 100_000_000
+
+
 def test_lines_of_repeated_shingles(spark):
     from prismcube.llm.lines import drop_repeated_lines
 
