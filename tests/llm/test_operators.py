@@ -440,6 +440,32 @@ def test_keys_of_the_same_nodes_are_one_bucket(spark):
     assert sorted(rows(got.select("key", "u", "n", "m"))) == [(0, 1, 2, 5), (0, 2, 2, 5), (9, 1, 3, 1), (9, 2, 3, 1), (9, 3, 3, 1)]
 
 
+def test_pairs_of_several_buckets_are_made_once(spark):
+    """Of 40 nodes, each in most of 12 buckets, all pairs between components come, and each of them once."""
+    from prismcube.llm._common import _pairs
+
+    rng = random.Random(4)
+    of = [(k, u, u % 7, None, k % 5) for k in range(12) for u in range(40) if rng.random() < 0.8]
+    want = {(a, b) for _, a, *_ in of for _, b, *_ in of if a % 7 < b % 7 and any((k, a) in {x[:2] for x in of} and (k, b) in {x[:2] for x in of} for k in range(12))}
+    got = rows(_pairs(spark.createDataFrame(of, "key long, u long, c long, free struct<n: long, at: long>, df long")))
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("few", (0, 1 << 18))
+@pytest.mark.parametrize("n", (0, 1, 400))
+def test_components_of_few_and_many_edges(spark, n, few, monkeypatch):
+    """The same from the driver and from plans; few edges take two tables, however long a chain they are."""
+    from prismcube.llm import _common
+
+    rng, tables, stored = random.Random(n), [], _common.stored
+    monkeypatch.setattr(_common, "FEW", few)
+    monkeypatch.setattr(_common, "stored", lambda df: tables.append(1) or stored(df))
+    edges = [(-5, 2**62), (7, 7)][:n] + [(1000 + i, 1001 + i) for i in range(n // 10)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(n // 3)]
+    want = united({x for a, b in edges if a != b for x in (a, b)}, [(a, b) for a, b in edges if a != b])
+    got = {r.id: r.component for r in _common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want and (len(tables) == 2 or not few)
+
+
 def test_bits_rule_out_no_link(spark):
     """Pairs that the bits rule out are below the threshold, and most pairs far below it are ruled out."""
     from prismcube.llm.lines import _marks, _possible
