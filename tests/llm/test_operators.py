@@ -451,6 +451,26 @@ def test_pairs_of_several_buckets_are_made_once(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_nodes_that_met_in_the_bucket_before_are_not_joined(spark):
+    """A family in 30 buckets is paired in the first; a node that joins it in bucket 20 meets all others there, and none after."""
+    from prismcube.llm._common import _pairs
+
+    of = [(k, u, u, (100, k), 2) for k in range(30) for u in range(50) if u or k >= 20]
+    once = "if(x.free.at > 20 or (x.free.at > 0 and x.u > 0 and y.u > 0), cast(raise_error('paired again') as boolean), true)"
+    got = rows(_pairs(spark.createDataFrame(of, "key long, u long, c long, free struct<n: long, at: long>, df long"), once))
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for b in range(50) for a in range(b)}
+
+
+@pytest.mark.parametrize("pairs", (0, 1 << 16))
+def test_line_dedup_of_few_and_many_pairs(spark, documents, pairs, monkeypatch):
+    """The same lines go, however what verifies the pairs is fetched."""
+    from prismcube.llm import lines
+
+    want = sorted(rows(lines.repeated_lines(documents).select("d", "th", F.sort_array("gone"))))
+    monkeypatch.setattr(lines, "FEW_PAIRS", pairs)
+    assert sorted(rows(lines.repeated_lines(documents).select("d", "th", F.sort_array("gone")))) == want
+
+
 @pytest.mark.parametrize("few", (0, 1 << 18))
 @pytest.mark.parametrize("n", (0, 1, 400))
 def test_components_of_few_and_many_edges(spark, n, few, monkeypatch):
