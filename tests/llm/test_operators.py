@@ -461,6 +461,16 @@ def test_nodes_that_met_in_the_bucket_before_are_not_joined(spark):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for b in range(50) for a in range(b)}
 
 
+def test_texts_are_split_once_to_lose_lines(spark):
+    """The text is split once for a document, and not once for each line that stays."""
+    from prismcube.llm.lines import dedup_lines
+
+    docs = spark.createDataFrame([(1, "one line\nanother of them\none line\nthe last"), (2, "\nthe last\n"), (3, None)], "doc_id long, text string")
+    found = dedup_lines(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(rows(found.select("doc_id", "kept", "n_removed", "n_lines"))) == [(1, "one line\nanother of them\nthe last", 1, 4), (2, "\n", 1, 1), (3, None, 0, 0)]
+
+
 @pytest.mark.parametrize("pairs", (0, 1 << 16))
 def test_line_dedup_of_few_and_many_pairs(spark, documents, pairs, monkeypatch):
     """The same lines go, however what verifies the pairs is fetched."""
