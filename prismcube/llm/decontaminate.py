@@ -28,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM_WORD, LOWER, Rolling, discard, flat, ranges, slabs, stored, word_hashes, word_spans
+from ._common import ALNUM_WORD, LOWER, Rolling, discard, flat, ranges, slabs, stored, trimmed, word_hashes, word_spans
 
 WINDOW = 13
 BLOCK = 512 << 10
 #: Blocks of one index, and indexes that a worker keeps; an index takes about 15 bytes for each byte of its items.
 JOINED, KEPT = 8, 4
-#: Slabs of texts that are held together, so that an index is loaded once for them.
-GROUP = 8
+#: Bytes of text that are scanned at once; their hashes take some fifty times as much.
+STEP = 512 << 10
+#: Bytes of text of rows that are worked on and put out together, and those of which the words are held so that an index is loaded once for them,
+#: where a worker doesn't keep all indexes.
+PART, GROUP = 2 << 20, 16 << 20
 #: A document with at least this share of its words in windows is contaminated.
 COVERAGE = 0.05
 
@@ -306,15 +309,24 @@ def _indexes(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> l
     return out
 
 
+def _parts(batches, at: int, indexes: list):
+    """The rows of the batches, whose column `at` are texts, in batches of a bounded size: a batch of Spark's is of a number of rows, however long those are."""
+    size = PART if len(indexes) <= KEPT else GROUP
+    for batch in batches:
+        for i, j in slabs(flat(batch.column(at))[1], size):
+            yield batch.slice(i, j - i)
+
+
 def _scan(indexes: list, column):
-    """For slabs of texts: (first row, data, offs, starts, ends, first word, hit, items).  GROUP slabs meet one index before
-    the next is loaded."""
+    """For slabs of texts: (first row, data, offs, starts, ends, first word, hit, items).  All of them meet one index before the next is loaded, unless
+    all indexes are kept."""
     rolling = _scan.__dict__.setdefault("rolling", Rolling())
     data, offs = flat(column)
-    cuts = list(slabs(offs))
-    for g in range(0, len(cuts), GROUP):
+    cuts = list(slabs(offs, STEP))
+    group = 1 if len(indexes) <= KEPT else max(1, len(cuts))
+    for g in range(0, len(cuts), group):
         found = []
-        for i, j in cuts[g : g + GROUP]:
+        for i, j in cuts[g : g + group]:
             part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             starts, ends, first, words = _normal_words(rolling, part, o)
             found.append((i, part, o, starts, ends, first, np.zeros(len(words), bool), [set() for _ in range(j - i)], words))
@@ -332,7 +344,7 @@ def scan_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches, 1, indexes):
             n_words, n_hit, found, spans = [], [], [], []
             for _, _, o, starts, ends, first, hit, items in _scan(indexes, batch.column(1)):
                 for d in range(len(o) - 1):
@@ -350,7 +362,7 @@ def scan_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
             )
 
     schema = f"`{id_col}` {kind}, n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean, spans array<array<bigint>>"
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(trimmed(run), schema)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: float = COVERAGE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -359,7 +371,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
     share, at = round(1 / coverage), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches, at, indexes):
             keep, texts, column = [], [], batch.column(at)
             for i, part, o, starts, ends, first, hit, _ in _scan(indexes, column):
                 for d in range(len(o) - 1):
@@ -377,4 +389,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
             cols = [pa.array(texts, batch.schema.field(k).type) if k == at else batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -177,6 +177,45 @@ def test_decontamination_removes_spans(spark):
     assert set(kept) == {1, 3, 4} and "q3" not in kept[1] and kept[3] == "clean text" and kept[4] is None
 
 
+@pytest.mark.parametrize("kept", (0, 4))
+def test_decontamination_of_large_batches_in_bounded_memory(kept, monkeypatch):
+    """Rows are worked on and put out in parts, whatever batch they come in; all come, in order, with one index kept or none."""
+    import pickle
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from prismcube.llm import decontaminate as d
+    from prismcube.llm._common import Rolling
+
+    item = " ".join(f"q{i}" for i in range(15))
+    index = d.ItemIndex(d._held(Rolling(), [("10", item)]), d.WINDOW)
+    monkeypatch.setattr(d, "_indexes", lambda *_: [(f"large batches {kept}", SimpleNamespace(value=pickle.dumps(index, 5)))])
+    monkeypatch.setattr(d, "KEPT", kept)
+    if not kept:
+        monkeypatch.setattr(d, "GROUP", 2 << 20)
+        monkeypatch.setattr(d, "_load", lambda key, blob: pickle.loads(blob).ready())
+    texts = [None if i % 100 == 7 else item if i % 100 == 9 else f"{i} " + "plain words " * 250 + (f"{item} end" if i % 10 == 3 else "end") for i in range(6000)]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    docs = SimpleNamespace(columns=schema.names, schema=schema, mapInArrow=lambda run, _: run)
+    run = d.remove_contamination(docs, None)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(texts)], schema=schema)
+    want = [(i, t and t.replace(item, "")) for i, t in enumerate(texts) if t != item]
+    tracemalloc.start()
+    try:
+        found = 0
+        for out in run([batch, batch.slice(0, 0)]):
+            assert out.nbytes < 4 << 20
+            for i, text in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                assert (i, text) == want[found]
+                found += 1
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == len(want) and most < 80_000_000
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_automaton_against_brute_force(seed):
     from prismcube.llm.decontaminate import ItemIndex
