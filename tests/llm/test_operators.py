@@ -500,6 +500,30 @@ def test_nodes_that_met_in_the_bucket_before_are_not_joined(spark):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for b in range(50) for a in range(b)}
 
 
+def test_joins_of_pairs_make_few_rows_beyond_pairs(spark):
+    """Nodes of one bucket that their numbers and places rule out as pairs aren't joined, one by one or as a group with others, and all other pairs come."""
+    from prismcube.llm._common import _pairs
+
+    of = [(0, u, u, (100, 15), 200) for u in range(200)]  # too much is before the bucket for any two
+    of += [(k, 1000 + u, u % 2, (100, k), 100 * k) for k in (1, 2) for u in range(100)] + [(2, 2000 + u, 2000 + u, (300, 50), 200) for u in range(100)]
+    share = 0.8 / 1.8 * (1 - 1e-9)
+    fits = f"least(x.free.n - x.free.at, y.free.n - y.free.at) >= {share}D * (x.free.n + y.free.n)"
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = _pairs(spark.createDataFrame(of, "key long, u long, c long, free struct<n: long, at: long>, df long"), fits, share)
+        plans = [got._jdf.queryExecution().executedPlan()]
+        found = rows(got)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted(found) == sorted({(a, b) for a in range(1000, 1100, 2) for b in range(1001, 1100, 2)})
+    joined = []
+    for plan in plans:
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        joined += [plan.metrics().get("numOutputRows").get().value()] if "Join" in plan.nodeName() else []
+    assert len(joined) == 3 and min(joined) == len(found) and max(joined) <= len(found) + 100
+
+
 def test_texts_are_split_once_to_lose_lines(spark):
     """The text is split once for a document, and not once for each line that stays."""
     from prismcube.llm.lines import dedup_lines
