@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ class HyperUnique:
 
 @dataclass(frozen=True)
 class Theta:
-    """Size 2**lg_k; answers are exact while fewer distinct values come.  `where`: filters of its rows."""
+    """Distinct values, counted exactly.  `where`: filters of its rows.  lg_k: the size of a sketch, where ThetaSetOp needs one."""
 
     column: str
     lg_k: int = 14
@@ -58,7 +60,8 @@ class Theta:
 
 @dataclass(frozen=True)
 class ThetaSetOp:
-    """INTERSECT, UNION or NOT over the sketches of other metrics."""
+    """INTERSECT, UNION or NOT over the values of other metrics: counted exactly where those are of one column, else estimated by
+    sketches, which are exact while fewer than 2**lg_k distinct values come."""
 
     op: str
     parts: tuple[Theta, ...]
@@ -98,16 +101,28 @@ def simple(kind: str, c: Column, type_=None) -> Column:
     raise ModelError(f"unknown rollup {kind}")
 
 
-def theta(t: Theta, column: Column, keep: Column | None) -> Column:
-    return F.theta_sketch_agg(column if keep is None else F.when(keep, column), F.lit(t.lg_k))
+def theta(t: Theta, column: Column) -> Column:
+    return F.theta_sketch_agg(column, F.lit(t.lg_k))
 
 
-def theta_set(op: str, sketches: list[Column]) -> Column:
-    fn = {"INTERSECT": F.theta_intersection, "UNION": F.theta_union, "NOT": F.theta_difference}[op.upper()]
-    out = sketches[0]
-    for s in sketches[1:]:
-        out = fn(out, s)
-    return F.theta_sketch_estimate(out)
+def theta_set(op: str, parts: tuple[Theta, ...], sketches: list[Column]) -> Column:
+    size = F.lit(max(t.lg_k for t in parts))
+    fn = {"INTERSECT": F.theta_intersection, "UNION": lambda a, b: F.theta_union(a, b, size), "NOT": F.theta_difference}[op.upper()]
+    return F.theta_sketch_estimate(reduce(fn, sketches))
+
+
+def theta_counts(op: str, parts: tuple[Theta, ...], count: Callable[[tuple[Theta, ...]], Column]) -> Column | None:
+    """A set operation as a sum of counts, count(parts) being that of the distinct values of all parts together, which can be grouped by below a
+    join; those are 2**n - 1 counts for an INTERSECT of n parts.  None for parts of several columns."""
+    op = op.upper()
+    if len({t.column for t in parts}) > 1:
+        return None
+    if op == "UNION" or len(parts) == 1:
+        return count(parts)
+    if op == "NOT":
+        return count(parts) - count(parts[1:])
+    each = [(n, some) for n in range(1, len(parts) + 1) for some in combinations(parts, n)]
+    return reduce(lambda out, x: out + count(x[1]) if x[0] % 2 else out - count(x[1]), each[1:], count(each[0][1]))
 
 
 def clean(c: Column, col: FactCol, *, derived: bool) -> Column:

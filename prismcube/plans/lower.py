@@ -432,6 +432,11 @@ class Planner:
             rows = rows.join(dims.select(F.col(key_name).alias("_page")), fk == F.col("_page"), "left_semi")
         groups = [fk.alias("_fk"), *[c.alias(n) for n, c in shown.items()]]
         how = "left" if r.join == "right" else "inner"
+        if not has_key and m.countable and not m.mergeable:  # distinct values are grouped by below the join, and counted above it
+            by, partial = [*groups, *m.values()], m.partial()
+            held = self._climb(rows.groupBy(*by).agg(*partial) if partial else rows.select(*by).distinct(), path)
+            out = dims.join(held, F.col(key_name) == F.col("_fk"), how).groupBy(*[F.col(n) for n in shown], *items).agg(*m.counted())
+            return self._projected(out, r, finals, having, dims_named=True), False
         if len(path) > 1 and not m.mergeable:
             held = rows.select("*", *groups)
             held = self._climb(held, path)

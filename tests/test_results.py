@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from datetime import date
 
+import duckdb
 import pytest
 
+from prismcube import catalog
 from prismcube.engine import Engine
 from prismcube.model import Cube, DateType, DecType, DimCol, DimTable, FactCol, FactTable, IntType, PublicCol, PublicDim, Registry, StrType
+from prismcube.operators.filters import F_in
 from prismcube.operators.joins import salted
-from prismcube.operators.rollups import NOOP
+from prismcube.operators.rollups import NOOP, Theta, ThetaSetOp
 from prismcube.sources import places
 from prismcube.streaming import LookupStore, latest
 
@@ -127,3 +130,39 @@ def test_latest_wins_in_a_stream(spark, tmp_path):
 def test_latest_breaks_ties(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "k int, v string, ts long")
     assert latest(df, "k", "ts", tie="v").collect()[0]["v"] == "b"
+
+
+@pytest.fixture(scope="module")
+def visits(spark):
+    """40,000 users of four countries; the first 30,000 come by web, those from 10,000 by app, those from 12,000 by post."""
+    rows = spark.range(40000).selectExpr("id as u", "id % 4 as country", "explode(filter(array(if(id < 30000, 'web', ''), if(id >= 10000, 'app', ''), if(id >= 12000, 'post', '')), x -> x <> '')) as way", "date'2024-03-12' as day")
+    of = lambda c, *ways: Theta(c, where=(F_in("way", *ways),) if ways else ())
+    web, app, post = (of("u", w) for w in ("web", "app", "post"))
+    sets = {
+        "users": of("u"), "by_web": web, "both": ThetaSetOp("INTERSECT", (web, app)), "three": ThetaSetOp("INTERSECT", (web, app, post)),
+        "either": ThetaSetOp("UNION", (web, app)), "only_web": ThetaSetOp("NOT", (web, app)), "only_app": ThetaSetOp("NOT", (app, web, post)),
+    }
+    dims = (DimCol("country", IntType(), foreign_key="country"), DimCol("way"), DimCol("day", DateType()))
+    fact = FactTable("visits", dims, tuple(FactCol(k, IntType(), v) for k, v in sets.items()), day_column="day")
+    places_of = DimTable("country", (DimCol("id", IntType(), primary_key=True), DimCol("name"), DimCol("part")), table="countries")
+    own = lambda names: tuple(PublicCol(n, n) for n in names)
+    reg = Registry().add(Cube("visits", (fact,), (*own(("way",)), PublicCol("Day", "day")), own(sets)), PublicDim("country", places_of, (PublicCol("Country", "id"), *own(("name", "part")))))
+    countries = spark.createDataFrame([(0, "a", "n"), (1, "b", "n"), (2, "c", "s"), (3, "d", "s")], "id long, name string, part string")
+    return Engine(spark, reg, places(spark, {"visits": rows, "countries": countries}), today=lambda: date(2024, 3, 12)), list(sets)
+
+
+def theta_rows(visits, names, *fields, **more):
+    return sorted(tuple(r) for r in visits[0].frame({**body([*fields, *names]), "cube": "visits", **more}).collect())
+
+
+def test_theta_set_operations_are_exact_beyond_a_sketch(visits):
+    assert theta_rows(visits, ["both", "three", "either", "only_web", "only_app"]) == [(20000, 18000, 40000, 10000, 0)]
+
+
+@pytest.mark.parametrize("name", ["agg_theta_setop"])
+def test_theta_queries_over_more_users_than_a_sketch_has(spark, tmp_path, name):
+    kinds = "element_at(array('purchase', 'click', 'error'), cast(id % 3 as int) + 1)"
+    spark.range(120000).selectExpr("id as event_id", "timestamp'2024-01-05 10:00:00' as ts", "id div 4 as user_id", f"{kinds} as event_type", "1.0D as value", "'' as props").write.parquet(f"{tmp_path}/events.parquet")
+    sql = catalog.oracle_sql()[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = duckdb.sql(sql)
+    assert [tuple(r[c] for c in want.columns) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == want.fetchall()
