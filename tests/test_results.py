@@ -171,7 +171,7 @@ def test_theta_above_joins(visits):
     assert theta_rows(visits, ["users", "both", "three"], "part", forceDimensionDriven=True) == want
 
 
-@pytest.mark.parametrize("name", ["agg_theta_setop"])
+@pytest.mark.parametrize("name", ["agg_theta_setop", "set_theta"])
 def test_theta_queries_over_more_users_than_a_sketch_has(spark, tmp_path, name):
     kinds = "element_at(array('purchase', 'click', 'error'), cast(id % 3 as int) + 1)"
     spark.range(120000).selectExpr("id as event_id", "timestamp'2024-01-05 10:00:00' as ts", "id div 4 as user_id", f"{kinds} as event_type", "1.0D as value", "'' as props").write.parquet(f"{tmp_path}/events.parquet")
