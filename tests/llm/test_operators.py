@@ -976,3 +976,19 @@ def test_empty_tables(spark, empty, name):
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_lines_texts_are_kept_without_moving_all_lines(spark):
+    """Every line of the nodes asked for has its text, few others have, and the plan has no exchange of lines."""
+    from prismcube.llm import lines
+
+    docs = spark.range(20000).selectExpr("id as doc_id", "concat('line number ', id, '\\nsecond ', id % 7) as text")
+    found = lines.lines_of(docs, "doc_id", "text")
+    asked = found.where("d % 100 = 0").select("k1", "k2").distinct().withColumn("u", F.monotonically_increasing_id())
+    kept = lines._kept_texts(found, asked)
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r) for r in found.join(asked, ["k1", "k2"]).select("d", "pos", "l").collect()}
+    got = {tuple(r) for r in kept.where("l is not null").select("d", "pos", "l").collect()}
+    assert kept.count() == 40000 and len(want) == 200 + 20000
+    assert want <= got and len(got - want) < 40000 // lines.BITS
+    assert lines._kept_texts(found, asked.where("false")).where("l is not null").count() == 0
