@@ -980,7 +980,7 @@ def test_every_operator_is_registered():
 
 def test_lines_texts_are_kept_without_moving_all_lines(spark):
     """Every line of the nodes asked for has its text, few others have, and the plan has no exchange of lines."""
-    from prismcube.llm import lines
+    from prismcube.llm import _common, lines
 
     docs = spark.range(20000).selectExpr("id as doc_id", "concat('line number ', id, '\\nsecond ', id % 7) as text")
     found = lines.lines_of(docs, "doc_id", "text")
@@ -992,3 +992,5 @@ def test_lines_texts_are_kept_without_moving_all_lines(spark):
     assert kept.count() == 40000 and len(want) == 200 + 20000
     assert want <= got and len(got - want) < 40000 // lines.BITS
     assert lines._kept_texts(found, asked.where("false")).where("l is not null").count() == 0
+    keys = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "key long, u long")
+    assert {tuple(r) for r in _common.met_keys(keys).select("key", "u").collect()} == {(1, 1), (1, 2)}
